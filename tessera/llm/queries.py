@@ -6,9 +6,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import chunk_store, decontaminate, packing, secrets, sharding, token_counts
+from tessera.llm import ann, chunk_store, decontaminate, html_extract, ngram_join, packing, quality, secrets, sharding, token_counts
 from tessera.llm.common import shared_dir
 
 
@@ -16,10 +15,22 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(_docs(spark, sf_dir))
+
+
 def op2_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(_docs(spark, sf_dir))
 
 
+def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_small_world_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_report(_docs(spark, sf_dir))
 
@@ -38,17 +49,25 @@ def op8_content_addressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_store.with_starts(chunk_store.read_store(spark, path))
 
 
+def op9_dom_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_benchmark_hash_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.report(_docs(spark, sf_dir), benchmark).drop("key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_signature_tree_join": op1_signature_tree_join,
     "op2_weighted_hash_tree": op2_weighted_hash_tree,
+    "op3_factorisation_machine": op3_factorisation_machine,
+    "op4_small_world_graph": op4_small_world_graph,
     "op5_prefix_token_counts": op5_prefix_token_counts,
     "op6_zstd_secret_scan": op6_zstd_secret_scan,
     "op7_complement_packing": op7_complement_packing,
     "op8_content_addressed_ids": op8_content_addressed_ids,
+    "op9_dom_tree_model": op9_dom_tree_model,
     "op10_benchmark_hash_set": op10_benchmark_hash_set,
 }
 
