@@ -7,21 +7,24 @@ with a special token's string go to the library whole; all others are split here
 
 from __future__ import annotations
 
+import base64
 import functools
 import os
 import re
+from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 
 # The splitting patterns of the two vocabularies, for texts in the plain range below.
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _DIGIT = "0-9²³¹¼-¾"
 _BYTE_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_DIGIT}{_LETTER}]+|\s+(?!\S)|\s+")
 _WORD_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[{_DIGIT}]|[^\s{_DIGIT}{_LETTER}]+")
-_NOT_PLAIN = re.compile("[^\t-\r\x20-\x7e\xa1-ɏ]")
+_NOT_PLAIN = re.compile("[^\t-\r\x20-\x7e\xa1-ſ]")
 _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
 
-MAX_CACHED = 250_000
+MAX_CACHED = 400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -49,34 +52,111 @@ class WordEncoder(dict):
         self.tok, self.dtype = tokenizer(name), dtype
         self.lower = bool(self.tok.normalizer)
         self.pieces = _WORD_PIECES if self.lower else _BYTE_PIECES
+        self.edge = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.edge[i] = token.endswith("</w>") if self.lower else token.startswith("\u0120")
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_CACHED:
-            self.clear()
-        got = self[piece] = np.array(self.tok.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+        got = self[piece] = self._ids(piece)
         return got
 
-    def encode(self, text: str) -> bytes:
+    def _split(self, text: str) -> list[str] | None:
+        """The pieces of a text in the plain range; None for any other."""
         if _NOT_PLAIN.search(text) or "<|" in text and _SPECIAL.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            return None
         if self.lower:
-            # İ (U+0130) lower-cases to two characters; the plain range then no longer holds.
             text = text.lower()
-            if "̇" in text:
-                return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join(map(self.__getitem__, self.pieces.findall(text)))
+            # U+0130 lower-cases to two characters; the plain range then no longer holds.
+            if "\u0307" in text:
+                return None
+        return self.pieces.findall(text)
+
+    def encode(self, text: str) -> bytes:
+        pieces = self._split(text)
+        return self._ids(text) if pieces is None else b"".join(map(self.__getitem__, pieces))
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces not met before, in one call where the ids show where a piece begins or ends.
+
+        With word ends that is the id of each piece's last token; else a piece that starts with a space has the only token that does.
+        """
+        if self.lower:
+            joined, rest, text = new, [], " ".join(new)
+        else:
+            joined = [p for p in new if p[0] == " " and p[1:].isalpha()]
+            rest, text = [p for p in new if not (p[0] == " " and p[1:].isalpha())], "".join(joined)
+        ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
+        ends = np.flatnonzero(self.edge[ids]) + 1 if self.lower else np.append(np.flatnonzero(self.edge[ids])[1:], len(ids))
+        if len(ends) != len(joined):
+            ends, rest = [], new
+        raw, at, size = ids.tobytes(), 0, ids.itemsize
+        for piece, end in zip(joined, (np.asarray(ends, np.int64) * size).tolist(), strict=False):
+            self[piece] = raw[at:end]
+            at = end
+        for piece, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self[piece] = np.array(e.ids, self.dtype).tobytes()
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text. Pieces not met before go to the library together, a few hundred texts at a time."""
+        for k in range(0, len(texts), 128):
+            part = texts[k : k + 128]
+            if len(self) >= MAX_CACHED:
+                self.clear()
+            get, split, new = self.get, [self._split(t) for t in part], set()
+            found = [None if p is None else list(map(get, p)) for p in split]
+            for p, f in zip(split, found, strict=True):
+                if f and None in f:
+                    new.update(x for x, y in zip(p, f, strict=True) if y is None)
+            if new:
+                self._learn(list(new))
+            for text, p, f in zip(part, split, found, strict=True):
+                if p is None:
+                    yield self._ids(text)
+                else:
+                    yield b"".join(map(self.__getitem__, p) if None in f else f)
+
+
+class RankEncoder:
+    """The same ids from the same vocabulary as a file of ranks, which its library applies to a whole text at once.
+
+    For texts in the plain range only, where both libraries split alike; all others go to the vocabulary's own library.
+    """
+
+    def __init__(self, name: str, ranks: str, dtype: str = "<u4"):
+        import tiktoken
+
+        self.tok, self.dtype = tokenizer(name), dtype
+        with open(vocabulary_path(ranks), "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if _NOT_PLAIN.search(text) or "<|" in text and _SPECIAL.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        return map(self.encode, texts)
+
+
+#: Vocabularies of which a file of ranks is installed too.
+RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(name: str, dtype: str = "<u4") -> WordEncoder:
-    return WordEncoder(name, dtype)
+def encoder(name: str, dtype: str = "<u4") -> WordEncoder | RankEncoder:
+    return RankEncoder(name, RANKS[name], dtype) if name in RANKS else WordEncoder(name, dtype)
 
 
 class PrefixCounter(dict):
-    """piece -> (its tokens, the step in the count at each of its characters as signed bytes).
+    """piece -> the step in the token count at each of its characters, as signed bytes.
 
-    The count at a prefix follows from a shorter one: the last token of its encoding is the longest vocabulary entry ending
-    there that the library would leave apart from the token before it. A step lies between -126 and 4, as no
+    The count at a prefix follows from a shorter one: the last token of its encoding is the one vocabulary entry ending
+    there that the library would leave apart from the token before it; as there is just one, the likely lengths go first. A step lies between -126 and 4, as no
     token is longer than 128 bytes and no character longer than four.
     """
 
@@ -85,52 +165,64 @@ class PrefixCounter(dict):
         self.tok = tokenizer(name)
         self.vocab = frozenset(self.tok.get_vocab())
         self.longest = max(map(len, self.vocab))
-        self.model, self.apart = self.tok.model, {}
+        self.model, self.apart, self.n_apart = self.tok.model, {}, 0
         # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others follow from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
     def _apart(self, a: str, b: str) -> bool:
-        got = self.apart.get((a, b))
-        if got is None:
-            if len(self.apart) >= 4 * MAX_CACHED:
-                self.apart.clear()
-            found = self.model.tokenize(a + b)
-            got = self.apart[a, b] = len(found) == 2 and found[0].value == a
+        """Whether the library leaves two tokens apart that stand side by side."""
+        if self.n_apart >= 2 * MAX_CACHED:
+            self.apart.clear()
+            self.n_apart = 0
+        found = self.model.tokenize(a + b)
+        got = self.apart.setdefault(a, {})[b] = len(found) == 2 and found[0].value == a
+        self.n_apart += 1
         return got
 
     def _counts(self, piece: str) -> list[int]:
         """Tokens of every prefix of a piece, by bytes: entry i is for the first i bytes."""
         word = piece.encode().decode("latin-1").translate(self.shown)
-        counts, last, vocab, apart = [0], [""], self.vocab, self._apart
-        for end in range(1, len(word) + 1):
-            for at in range(max(0, end - self.longest), end):
-                token = word[at:end]
-                if token in vocab and (not at or apart(last[at], token)):
-                    counts.append(counts[at] + 1)
-                    last.append(token)
-                    break
+        counts, last, vocab, apart, none, size = [0], [""], self.vocab, self.apart, {}, len(word)
+        ways = [*_LIKELY, *range(_LIKELY[-1] + 1, min(self.longest, size) + 1)]
+        for end in range(1, size + 1):
+            for k in ways:
+                at = end - k
+                if at > 0:
+                    token = word[at:end]
+                    ok = apart.get(last[at], none).get(token)
+                    if ok is None and token in vocab:
+                        ok = self._apart(last[at], token)
+                    if not ok:
+                        continue
+                elif at or (token := word[:end]) not in vocab:
+                    continue
+                counts.append(counts[at] + 1)
+                last.append(token)
+                break
         return counts
 
-    def __missing__(self, piece: str) -> tuple[int, bytes]:
-        if len(self) >= MAX_CACHED:
-            self.clear()
+    def __missing__(self, piece: str) -> bytes:
         counts = self._counts(piece)
         if not piece.isascii():
-            ends = np.cumsum([len(c.encode()) for c in piece])
-            counts = [0, *(counts[e] for e in ends)]
-        got = self[piece] = counts[-1], np.diff(counts).astype("i1").tobytes()
+            counts = [0, *(counts[e] for e in accumulate(len(c.encode()) for c in piece))]
+        got = self[piece] = bytes([(b - a) & 255 for a, b in pairwise(counts)])
         return got
 
     def prefixes(self, text: str) -> tuple[int, bytes]:
         """Tokens of the whole text, and the steps from which ``np.cumsum`` makes the count at every prefix."""
-        plain = not (_NOT_PLAIN.search(text) or "<|" in text and _SPECIAL.search(text))
-        if not plain:
+        if _NOT_PLAIN.search(text) or "<|" in text and _SPECIAL.search(text):
             return self._slow(text)
-        parts = [self[p] for p in _BYTE_PIECES.findall(text)]
-        total, steps = sum([p[0] for p in parts]), b"".join([p[1] for p in parts])
-        return total, self._spaces(text, steps) if _RUN.search(text) else steps
+        if len(self) >= MAX_CACHED:
+            self.clear()
+        steps = b"".join(map(self.__getitem__, _BYTE_PIECES.findall(text)))
+        if _RUN.search(text):
+            steps = self._spaces(text, steps)
+        return int(np.frombuffer(steps, "i1").sum(dtype=np.int64)), steps
+
+    def _whole(self, piece: str) -> int:
+        return self._counts(piece)[-1]
 
     def _spaces(self, text: str, steps: bytes) -> bytes:
         """A prefix that ends in a run of white space has that run as one piece, though the whole text gives its last
@@ -140,7 +232,7 @@ class PrefixCounter(dict):
             base = counts[m.start() - 1] if m.start() else 0
             run = self._counts(m.group()) if m.group().isascii() else None
             for k in range(1, len(m.group()) + 1):
-                counts[m.start() + k - 1] = base + (run[k] if run else self[m.group()[:k]][0])
+                counts[m.start() + k - 1] = base + (run[k] if run else self._whole(m.group()[:k]))
         return np.diff(counts, prepend=0).astype("i1").tobytes()
 
     def _slow(self, text: str) -> tuple[int, bytes]:
@@ -161,18 +253,19 @@ class PrefixCounter(dict):
                 counts[at + len(part) - 1] = done
             else:
                 for m in pieces.finditer(part):
-                    n, steps = self[m.group()]
-                    counts[at + m.start() : at + m.end()] = done + np.cumsum(np.frombuffer(steps, "i1"))
-                    done += n
+                    step = np.cumsum(np.frombuffer(self[m.group()], "i1"), dtype=np.int64)
+                    counts[at + m.start() : at + m.end()] = done + step
+                    done += int(step[-1])
                 for m in _RUN.finditer(part):
                     base = counts[at + m.start() - 1] if at + m.start() else 0
                     for k in range(1, len(m.group()) + 1):
-                        counts[at + m.start() + k - 1] = base + self[m.group()[:k]][0]
+                        counts[at + m.start() + k - 1] = base + self._whole(m.group()[:k])
             at += len(part)
         return len(whole.ids), np.diff(counts, prepend=0).astype("i1").tobytes()
 
 
 _RUN = re.compile(r"\s\s+")
+_LIKELY = (2, 3, 1, 4, 5)
 
 
 @functools.lru_cache(maxsize=2)

@@ -64,3 +64,10 @@ def running_start(df: DataFrame, key: str, amount: str, out: str, shift: int = 1
     rows = rows.withColumn("_in", F.coalesce(F.sum(amount).over(w), F.lit(0)))
     joined = rows.join(sums, rows["_block"].eqNullSafe(sums["_block"]), "left").drop(sums["_block"])
     return joined.withColumn(out, (F.col("_in") + F.col("_off")).cast("long")).drop("_block", "_in", "_off")
+
+
+def sliced(batches, rows: int = 512):
+    """Arrow batches in smaller pieces, so that a worker holds few rows as Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

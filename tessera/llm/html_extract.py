@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import sliced
+
 # HTML's element classes, as far as they matter for blocks of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math xmp noembed noframes".split())
@@ -242,7 +244,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = [main_text(h or "", model) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

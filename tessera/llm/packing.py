@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encoder
-from tessera.llm.common import stage
+from tessera.llm.common import sliced, stage
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -28,15 +28,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
 
     def run(batches):
         enc, tail = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             out = []
-            for k, t in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode(t or "") + tail
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for k, ids in zip(b.column(0).to_pylist(), enc.encode_all(texts), strict=True):
+                ids += tail
                 n = len(ids) // 4
                 ends = range(n % capacity or capacity, n + 1, capacity)
                 at = 0
                 for i, e in enumerate(ends):
-                    out.append((k.as_py(), i, at, e - at, zlib.crc32(ids[4 * at : 4 * e]), ids[4 * at : 4 * e] if keep_ids else None))
+                    out.append((k, i, at, e - at, zlib.crc32(ids[4 * at : 4 * e]), ids[4 * at : 4 * e] if keep_ids else None))
                     at = e
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

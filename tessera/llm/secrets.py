@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import sliced
+
 # The base patterns, by kind, and the least length of what they have to catch.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -106,7 +108,7 @@ def scan(docs: DataFrame, least_novelty: float = NOVELTY) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             cols: list[list] = [[] for _ in range(6)]
             for text in b.column(1).to_pylist():
                 base = base_spans(text or "")

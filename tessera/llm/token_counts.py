@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import prefix_counter
+from tessera.llm.common import sliced
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -22,7 +23,7 @@ def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         counter = prefix_counter(vocabulary)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             got = [counter.prefixes(t) for t in texts]
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
