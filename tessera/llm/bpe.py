@@ -143,13 +143,70 @@ class RankEncoder:
         return map(self.encode, texts)
 
 
+class WordEndEncoder:
+    """Ids of a vocabulary with word ends, by the same merges as ranks over bytes.
+
+    A mark byte that no plain text holds stands for the word end. Joining a word's last byte with the mark comes first, then the
+    vocabulary's merges in their order. The tests hold the ids against the vocabulary's own library, which encodes all texts outside
+    the plain range.
+    """
+
+    MARK = "\x01"
+
+    def __init__(self, name: str, dtype: str = "<u4"):
+        import json
+
+        import tiktoken
+
+        self.tok, self.dtype = tokenizer(name), dtype
+        ids = self.tok.get_vocab()
+        with open(vocabulary_path(name), encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        shown = byte_letters()
+        back = {chr(c): bytes([b]) for b, c in shown.items()}
+        raw = lambda token: b"".join(back[c] for c in token.removesuffix("</w>")) + b"\x01" * token.endswith("</w>")
+        order = [chr(shown[b]) for b in range(256)] + [chr(shown[b]) + "</w>" for b in range(256)]
+        order += ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+        ranks, self.ids = {}, []
+        for token in order:
+            if (key := raw(token)) not in ranks:
+                ranks[key] = len(ranks)
+                self.ids.append(ids[token])
+        self.ids = np.array(self.ids, dtype)
+        self.ranks = tiktoken.Encoding("ends", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        pieces = None
+        if not (_NOT_PLAIN.search(text) or "<|" in text and _SPECIAL.search(text)):
+            lower = text.lower()
+            # U+0130 lower-cases to two characters; the plain range then no longer holds.
+            pieces = None if "\u0307" in lower else _WORD_PIECES.findall(lower)
+        if pieces is None:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        if not pieces:
+            return b""
+        return self.ids[self.ranks.encode_to_numpy(self.MARK.join(pieces) + self.MARK, disallowed_special=())].tobytes()
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        return map(self.encode, texts)
+
+
+def byte_letters() -> dict[int, int]:
+    """Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others follow from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
 #: Vocabularies of which a file of ranks is installed too.
 RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(name: str, dtype: str = "<u4") -> WordEncoder | RankEncoder:
-    return RankEncoder(name, RANKS[name], dtype) if name in RANKS else WordEncoder(name, dtype)
+def encoder(name: str, dtype: str = "<u4") -> WordEncoder | RankEncoder | WordEndEncoder:
+    if name in RANKS:
+        return RankEncoder(name, RANKS[name], dtype)
+    return WordEndEncoder(name, dtype) if tokenizer(name).normalizer else WordEncoder(name, dtype)
 
 
 class PrefixCounter(dict):
@@ -166,10 +223,7 @@ class PrefixCounter(dict):
         self.vocab = frozenset(self.tok.get_vocab())
         self.longest = max(map(len, self.vocab))
         self.model, self.apart, self.n_apart = self.tok.model, {}, 0
-        # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others follow from U+0100 on.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self.shown = byte_letters()
 
     def _apart(self, a: str, b: str) -> bool:
         """Whether the library leaves two tokens apart that stand side by side."""
