@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,8 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a cut in the lineage that survives lost executors."""
+def stage(df: DataFrame, name: str, codec: str = "snappy", files: int = 0) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: a cut in the lineage that survives lost executors.
+
+    ``files`` bounds the number of files of a table known to be small.
+    """
+    df = df.coalesce(files) if files else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
@@ -40,6 +45,12 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more, before a step that needs room."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other letter stays as it is."""
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
