@@ -193,7 +193,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
                 out: list[tuple] = []
                 for i, hits in enumerate(found):
                     hits = hits[hits >= 0][: 2 * k + 8]
-                    d = np.sqrt(((x[hits].astype(float) - qvec[i]) ** 2).sum(1))
+                    sq = (x[hits].astype(float) - qvec[i]) ** 2
+                    d = np.sqrt(np.add.accumulate(sq, axis=1)[:, -1]) if len(hits) else np.zeros(0)  # summed from the first component on
                     mine = [(float(s), int(v)) for s, h in zip(d, hits, strict=True) for v in ids[start[h] : start[h + 1]] if v != qid[i]]
                     out += [(int(qid[i]), v, s) for s, v in sorted(mine)[:k]]
                 cols = list(zip(*out, strict=True)) or [[], [], []]

@@ -91,7 +91,8 @@ def with_slots(rows: DataFrame, shard: str = "shard", by: tuple[str, ...] = ("do
 
     No task sees more than a bucket of a shard's rows (raise ``buckets`` with the table) or the ``buckets`` counts of a shard.
     """
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
+    name = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by))
+    rows = rows.withColumn("_bucket", F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % buckets)
     sums = rows.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
