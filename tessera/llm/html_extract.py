@@ -180,6 +180,8 @@ class Model:
         return [b - a for a, b in full]
 
 
+NAME_WEIGHT, TEXT_WEIGHT = 2.0, 0.7
+PARTS = frozenset(f"<{t}>" for t in ("p", "li", "td", "dd", "dt", "tr", "ul", "ol", "dl", "table", "div", "section"))
 ROOT = 6.0  # the page as a whole is not main text
 
 
@@ -208,8 +210,8 @@ def train(pages: tuple[str, ...]) -> Model:
             for w in words_of(x):
                 own[w][state[i]] += 1
     prior = math.log(total[1] / total[0])
-    # What a text says of itself (length, links, ending) is correlated; together it counts as about one word.
-    log_odds = {w: (math.log(b / a) - prior) * (1.0 if w[0] in "<." else 0.4) for w, (a, b) in own.items()}
+    # What a text says of itself (length, links, ending) is correlated, what an element is named is the surer sign.
+    log_odds = {w: (math.log(b / a) - prior) * (NAME_WEIGHT if w[0] in "<." and w not in PARTS else TEXT_WEIGHT) for w, (a, b) in own.items()}
     edge = {}
     for kind, c in pairs.items():
         rows = []

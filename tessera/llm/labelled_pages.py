@@ -35,6 +35,9 @@ def pages(turn: int) -> tuple[str, ...]:
         f'<html y=0><body><nav><ul><li><a>{t[3]}</a></li><li><a>{t[6]}</a></li></ul></nav><main y=1><article><h1>{t[6]}</h1><p>{t[4]} {t[2]}</p><h2>{t[3]}</h2><p>{" ".join(t)}</p><pre>{t[3]}</pre></article></main><section class="comments"><h3>Comments</h3><article class="comment"><p>{t[1]} {t[2]}</p></article></section><footer><p>{t[0]}</p></footer></body></html>',
         f'<html y=0><body><nav><ul><li><a>Home</a></li></ul></nav><div class="ad">{t[6]}</div><article y=1><h1>{t[4][:40]}</h1><p><b>{t[4]}<br></article><footer>&copy; example &middot; {t[0]}</footer></body></html>',
         f'<html y=0><body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><div class="ad">{t[2]}</div><article y=1><h1>{t[1][:30]}</h1><p>{t[1]}</p></article><footer>&copy; example &middot; {t[5]}</footer></body></html>',
+        f'<article y=1><p>{t[0]}<p>{t[3]}</article>',
+        f'<article y=1><h1>{t[3]}</h1><p>{t[6]}<br>{t[1]}</p></article><footer y=0>{t[2]}</footer>',
+        f'<html y=0><body><article y=1><p>{t[3]}</p><p>{t[6]}</p></article></body></html>',
     )
 
 
