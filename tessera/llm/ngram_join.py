@@ -1,8 +1,8 @@
 """N-gram Jaccard join with signature trees (operator 1).
 
 Two documents link when their sets of 5-word shingles have a Jaccard similarity of at least 0.8. Equal sets are one node. Candidate
-groups come from prefix filtering: under one global order of shingles, rarest first, two linked sets share one among their
-first n - ceil(0.8 n) + 1. Each group is a forest of signature trees whose dual traversal finds the pairs worth an exact
+groups come from prefix filtering: under one global order of shingles, rarest first, two linked sets share ``SHARED`` among their
+first n - ceil(0.8 n) + ``SHARED``. Each group is a forest of signature trees whose dual traversal finds the pairs worth an exact
 comparison; pairs already connected are not compared again, as only components are asked for.
 """
 
@@ -14,16 +14,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_staged, stage
+from tessera.llm.common import drop_staged, release, sliced, stage
 from tessera.llm.components import components
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the similarity, 0.8
-SKETCH_BITS, FILTER_BITS, SLICES, FOLD = 20, 26, 64, 64
+SKETCH_BITS, FILTER_BITS, SLICES, FOLD = 24, 26, 64, 64
 BLOCK, FANOUT = 96, 8
+#: Shingles that two linked sets share within their prefixes at least, and how many nodes may share one to be paired off singly.
+SHARED, FEW = 4, 8
 WORD_BYTES = 6  # bytes kept of each shingle's hash for comparison: 48 bits
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -60,8 +62,15 @@ def node_of(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
+def least_overlap(n: int) -> int:
+    """Shingles that a set of n shares with any set it links to, at least."""
+    return (NUM * n + DEN - 1) // DEN
+
+
 def prefix_size(n: int) -> int:
-    return n - (NUM * n + DEN - 1) // DEN + 1
+    """Two sets that share k shingles share j of them among the first n - k + j of each, under one order of all shingles."""
+    k = least_overlap(n)
+    return n - k + min(SHARED, k)
 
 
 def _slices(whole: np.ndarray) -> list[dict]:
@@ -94,10 +103,10 @@ def survey(docs: DataFrame) -> DataFrame:
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         empty = pa.array([], pa.int64())
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             if any(map(len, sets)):
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
@@ -110,27 +119,28 @@ def survey(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, slice int, data binary")
 
 
-def prefixes(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """node and the first shingles of its set in the global order (rarer bucket first, then hash)."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+def prefixes(docs: DataFrame, rank: np.ndarray, reps: DataFrame) -> DataFrame:
+    """Of each node (once, but for a few copies): its set's size and first shingles in the global order (rarer bucket, then hash)."""
+    shared = docs.sparkSession.sparkContext.broadcast((rank, filter_of(reps)))
 
     def run(batches):
-        r = shared.value
-        for b in batches:
-            nodes, tokens = [], []
-            for t in b.column(0).to_pylist():
+        r, have = shared.value
+        for b in sliced(batches):
+            nodes, sizes, tokens = [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = shingles(t)
-                if len(h):
+                if len(h) and _has(have, np.array([node := node_of(h)]), np.array([d]))[0]:
                     p = prefix_size(len(h))
                     order = (r[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
                     first = np.argpartition(order, p - 1)[:p] if p < len(h) else np.arange(len(h))
-                    nodes.append(node_of(h))
+                    nodes.append(node)
+                    sizes.append(len(h))
                     tokens.append(h[first].view(np.int64))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "n", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "node long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, n long, tokens array<long>")
 
 
 def _filter_slots(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -151,26 +161,41 @@ def filter_of(wanted: DataFrame) -> np.ndarray:
     return fold(wanted.select("node", "rep").mapInArrow(run, "slice int, data binary"), "u1", (1 << FILTER_BITS) // 8, np.bitwise_or)
 
 
+def _has(bits: np.ndarray, node: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    slot = _filter_slots(node, doc)
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its set (48 bits of each hash), once for each wanted (node, rep)."""
+    """(node, rep) and the node's set (48 bits of each hash) for each wanted (node, rep), in place: no shuffle.
+
+    A few others pass the filter too, and repeated rows repeat; whoever joins on (node, rep) drops the former, the latter do no harm.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
 
     def run(batches):
         have = bits.value
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = shingles(t)
-                if len(h) and d is not None:
-                    node = node_of(h)
-                    slot = int(_filter_slots(np.array([node]), np.array([d]))[0])
-                    if have[slot >> 3] >> (7 - (slot & 7)) & 1:
-                        rows.append((node, d, h.view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :].tobytes()))
+                if len(h) and d is not None and _has(have, np.array([node := node_of(h)]), np.array([d]))[0]:
+                    rows.append((node, d, h.view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :].tobytes()))
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["node", "rep", "shingles"])
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, rep long, shingles binary")
-    return got.join(wanted, ["node", "rep"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, rep long, shingles binary")
+
+
+def only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of some nodes (node, rep), and a few others, again without a shuffle."""
+    bits = sets.sparkSession.sparkContext.broadcast(filter_of(wanted))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_has(bits.value, b.column(0).to_numpy(), b.column(1).to_numpy())))
+
+    return sets.mapInArrow(run, "node long, rep long, shingles binary")
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -300,45 +325,73 @@ def join_classes(docs: DataFrame) -> DataFrame:
     Rows with equal texts are one node. No table of pairs within a group is made: a group of m nodes is split into blocks, and what it
     sends on is a forest.
     """
+    spark = docs.sparkSession
     surveyed = stage(survey(docs), "survey")
     counts = fold(surveyed.where("slice is not null").select("slice", "data"), "<u4", 1 << SKETCH_BITS, np.add)
     rank = np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
     rows = surveyed.where("slice is null").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
 
-    first = stage(prefixes(docs.where("doc_id is not null"), rank), "prefixes")
-    postings = first.select("node", F.explode("tokens").alias("token"))
-    hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    hubs = stage(hubs.select("token", "hub"), "hubs")
-    member = stage(postings.join(hubs, "token").where("node <> hub").select("hub", "node").distinct(), "members")
+    reps = stage(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
+    first = stage(prefixes(docs.where("doc_id is not null"), rank, reps), "prefixes")
+    postings = first.select("node", "n", F.explode("tokens").alias("token"))
+    hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("df")).where("hub <> last")
+    hubs = stage(hubs.select("token", "hub", "df"), "hubs")
+    common = stage(postings.join(hubs, "token").distinct(), "common")
     drop_staged(first)
     drop_staged(hubs)
-    reps = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    wanted = member.select("node").union(member.select(F.col("hub"))).distinct().join(reps, "node")
-    sets = stage(sets_of(docs, stage(wanted, "wanted")), "sets")
-
-    sizes = member.groupBy("hub").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    salted = member.join(stage(sizes, "sizes"), "hub").select("hub", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("salt"))
-    salted = stage(salted, "blocks")
-    hub_rows = sizes.select("hub", F.col("hub").alias("node"), blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
-    near = salted.unionByName(hub_rows).join(sets, "node").withColumn("label", F.col("node")).withColumn("side", F.lit(1))
-    links = stage(join_blocks(near, ["hub", "salt"]), "links")
-
-    # Groups of several blocks: every pair across blocks that is not connected yet has a member outside the hub's component.
-    if salted.where("blocks > 1").limit(1).count():
-        root = stage(components(links), "roots")
-        big = salted.where("blocks > 1").join(root, "node", "left").select("hub", "node", "blocks", "salt", F.coalesce("root", "node").alias("label"))
-        main = sizes.where(F.col("size") > BLOCK).select("hub").join(root.withColumnRenamed("node", "hub"), "hub", "left").select("hub", F.coalesce("root", "hub").alias("main"))
-        big = stage(big.join(stage(main, "main"), "hub"), "big")
-        odd = big.where("label <> main")
-        odd_n = stage(odd.groupBy("hub").agg(F.count("*").alias("odd")), "odd")
-        odd_blocks = F.ceil(F.col("odd") / BLOCK).cast("int")
-        parts = F.sequence(F.lit(0), odd_blocks - 1)
-        left = odd.join(odd_n, "hub").select("hub", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.pmod(F.xxhash64("node", F.lit(7)), odd_blocks).cast("int").alias("odd"), F.lit(0).alias("side"))
-        right = big.join(odd_n, "hub").select("hub", "node", "label", "salt", F.explode(parts).alias("odd"), F.lit(1).alias("side"))
-        cross = left.unionByName(right).join(sets, "node")
-        links = links.union(join_blocks(cross, ["hub", "salt", "odd"]))
-    root = stage(components(links), "roots")
+    release(spark)
+    # Shingles of many nodes make groups: a hub, the least node of a shingle, and all nodes that have one of its shingles.
+    many = common.where(F.col("df") > FEW)
+    member = stage(many.where("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("shared")), "members")
+    # Shingles of few nodes make pairs, at most FEW / 2 a posting. A link shares SHARED prefix shingles, those of many nodes included.
+    more = many.groupBy("node").agg(F.count("*").alias("many"))
+    few = common.where(F.col("df") <= FEW).join(more, "node", "left").select("token", "node", "n", F.coalesce("many", F.lit(0)).alias("many"))
+    few = stage(few, "few")
+    right = few.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "many")))
+    pair = few.join(right, "token").where("node < node2").groupBy("node", "node2", "n", "n2", "many", "many2").agg(F.count("*").alias("shared"))
+    alike = (DEN * F.least("n", "n2") >= NUM * F.greatest("n", "n2")) & (F.col("shared") + F.least("many", "many2") >= F.least(F.lit(SHARED), F.ceil(F.least("n", "n2") * NUM / DEN)))
+    pair = stage(pair.where(alike).select(F.col("node").alias("hub"), F.col("node2").alias("node"), "shared"), "pairs")
+    drop_staged(few)
+    drop_staged(common)
+    able = member.unionByName(pair)
+    reps = stage(able.select("node").union(able.select("hub")).distinct().join(reps, "node"), "wanted")
+    release(spark)
+    sets = stage(sets_of(docs, reps), "sets")
+
+    # First each node meets the hub with which it shares most, and what that hub's other nodes are in its block.
+    nearest = able.groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select("hub", "node")
+    nearest = stage(nearest, "nearest")
+    size = stage(nearest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    at = nearest.join(size, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("salt"))
+    at = at.unionByName(size.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt")))
+    at = at.withColumn("label", F.col("node")).withColumn("side", F.lit(1))
+    links = stage(join_blocks(at.join(reps, "node").join(sets, ["node", "rep"]), ["hub", "salt"]), "links")
+    root = components(links)
+
+    # Then pairs that are not connected yet; and in each group, nodes outside the hub's component meet all of the group: of any two of it
+    # that are not connected yet, one is such a node. Groups whose pairs were all compared in one block are done.
+    label = lambda df, node, out: df.join(root.select(F.col("node").alias(node), F.col("root").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
+    open_pairs = label(label(pair.join(nearest, ["hub", "node"], "left_anti"), "node", "label"), "hub", "main").where("label <> main")
+    open_pairs = open_pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.count("*").over(Window.partitionBy("hub")) / BLOCK)).cast("int"))
+    open_pairs = stage(open_pairs.select("hub", "main", "node", "label", "salt"), "open")
+    heads = open_pairs.select("hub", F.col("hub").alias("node"), F.col("main").alias("label"), "salt", F.lit(-1).alias("part"), F.lit(0).alias("side")).distinct()
+    cross = heads.unionByName(open_pairs.select("hub", "node", "label", "salt", F.lit(-1).alias("part"), F.lit(1).alias("side")))
+    every = member.select("hub", "node").unionByName(member.select("hub", F.col("hub").alias("node")).distinct())
+    every = stage(every.join(root, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label")), "labels")
+    main = stage(every.where("hub = node").select("hub", F.col("label").alias("main")), "main")
+    done = nearest.groupBy("hub").agg(F.count("*").alias("compared")).join(size.where("blocks = 1"), "hub").select("hub", "compared")
+    groups = every.join(main, "hub").groupBy("hub").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("odd")).where("odd > 0")
+    groups = groups.join(done, "hub", "left").where("compared is null or compared < n - 1")
+    groups = stage(groups.select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("odd") / BLOCK).cast("int").alias("parts")), "open")
+    rest = every.join(groups, "hub").join(main, "hub")
+    left = rest.where("label <> main").select("hub", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.pmod(F.xxhash64("node", F.lit(7)), "parts").cast("int").alias("part"), F.lit(0).alias("side"))
+    right = rest.select("hub", "node", "label", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"))
+    cross = stage(cross.unionByName(left).unionByName(right), "cross")
+    needed = stage(cross.select("node").distinct().join(reps, "node"), "needed")
+    if needed.limit(1).count():
+        release(spark)
+        more = join_blocks(cross.join(needed, "node").join(only(sets, needed), ["node", "rep"]), ["hub", "salt", "part"])
+        root = components(stage(links.union(more), "links"))
     drop_staged(sets)
     named = rows.join(root, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     named = stage(named, "named")
@@ -349,8 +402,6 @@ def join_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with the first document of each component only, all columns kept; rows with a null id stay."""
-    from pyspark.sql import Window
-
     classes = join_classes(docs)
     kept = stage(classes.where("doc_id = component_id").select("doc_id").distinct(), "kept")
     rows = docs.join(kept, "doc_id", "left_semi")

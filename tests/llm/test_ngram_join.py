@@ -1,0 +1,107 @@
+import random
+
+import numpy as np
+import pytest
+
+from tessera.llm import ngram_join
+from tessera.llm.components import components
+from tests.llm.brute import classes
+
+
+def result(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_classes(df).collect()}
+
+
+def near_copies(rng, n, size, most, start=0):
+    base = [f"b{rng.randrange(10**6)}" for _ in range(size)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(most + 1)):
+            w[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+        out.append((start + i * 3, " ".join(w)))
+    return out
+
+
+def test_against_all_pairs(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert result(docs) == classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_a_large_group_of_near_copies_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(5)
+    docs = near_copies(rng, 150, 90, 4) + near_copies(rng, 60, 40, 2, 1) + near_copies(rng, 40, 200, 9, 2)
+    docs += [(9000 + i, docs[0][1]) for i in range(30)] + [(9500 + i, " ".join(docs[0][1].split()[: 5 + i])) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(df) == classes(docs)
+
+
+def test_a_passage_that_many_share_links_nothing(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, " ".join(f"u{rng.randrange(10**7)}" for _ in range(40)) + " " + passage) for i in range(200)]
+    docs += [(500 + i, passage + " " + " ".join(f"v{rng.randrange(10**7)}" for _ in range(i))) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(df) == classes(docs)
+
+
+def test_threshold_is_inclusive(spark):
+    # 18 shingles shared of 22 and 23 together: 0.8 is met at 20 of 25
+    def doc(n, tail):
+        return " ".join([f"c{i}" for i in range(n)] + tail)
+
+    docs = [(0, doc(24, [])), (1, doc(24, [f"t{i}" for i in range(5)])), (2, doc(24, [f"s{i}" for i in range(6)])), (3, "A b C d E"), (4, "a B c D e"), (5, "a b"), (6, "A  B")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = result(df)
+    assert got == classes(docs) and got[1] == (25, 0) and got[2] == (26, 2) and got[6] == (1, 5)
+
+
+def test_odd_rows(odd, empty):
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"]) for r in ngram_join.join_classes(odd).collect())
+    assert len(got) == odd.count() and (0, 0, 0) in got and (2, 0, 2) in got and (11, 1, 10) in got and (-1, 2, None) in got
+    assert (4, 1, 4) in got and got.count((7, 1, 7)) == 2
+    assert ngram_join.join_classes(empty).count() == 0
+    assert ngram_join.join_classes(odd.where("doc_id is null or text is null")).count() == 2
+
+
+def test_keep_one(odd, empty):
+    kept = ngram_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect())
+    assert ids == [-1, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert ngram_join.keep_one(empty).count() == 0
+
+
+def test_tree_prunes_but_loses_no_link():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    sets = []
+    for _ in range(40):
+        core = rng.choice(pool, 100, replace=False)
+        sets += [np.unique(np.concatenate([core[: 100 - k], rng.choice(pool, k)])) for k in (0, 3, 8, 20)]
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sets = [sets[i] for i in order]
+    tree = ngram_join.SignatureTree(sets, 256)
+    assert len(tree.levels) > 2
+    kept = {(min(i, j), max(i, j)) for i, j in tree.pairs(tree).tolist() if i != j}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if ngram_join.linked(sets[i], sets[j])}
+    assert want <= kept and len(kept) < len(sets) * (len(sets) - 1) // 4
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "random"])
+def test_components(spark, kind):
+    rng = random.Random(2)
+    links = {"path": [(i, i + 1) for i in range(60)] + [(100, 101)], "star": [(5, i) for i in range(10, 300)] + [(i, i) for i in range(3)], "random": [(rng.randrange(150), rng.randrange(150)) for _ in range(110)]}[kind]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        ra, rb = find(a), find(b)
+        root[max(ra, rb)] = min(ra, rb)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
