@@ -55,14 +55,12 @@ class WindowStore:
         return self.spark.read.parquet(f"{self.path}/index/v={version or self.version()}")
 
     def windows(self, version: int | None = None, buckets: tuple[int, int] | None = None) -> DataFrame:
-        """Window rows with their positions; only buckets in the closed range ``buckets`` are listed and read."""
+        """Window rows with their positions; only buckets in the closed range ``buckets`` are read (folders are pruned)."""
         version = version or self.version()
-        held, idx = self.manifest(version), self.index(version)
+        held, idx, data = self.manifest(version), self.index(version), self.spark.read.parquet(f"{self.path}/data")
         if buckets:
-            between = F.col("bucket").between(*buckets)
-            held, idx = held.where(between), idx.where(between)
-        paths = [f"{self.path}/data/v={r['held']}/bucket={r['bucket']}" for r in held.collect()]  # one row per bucket of 4096 windows
-        data = self.spark.read.parquet(*paths) if paths else self.spark.read.parquet(f"{self.path}/data/v=1").drop("bucket").limit(0)
+            held, idx, data = (df.where(F.col("bucket").between(*buckets)) for df in (held, idx, data))
+        data = data.withColumn("bucket", F.col("bucket").cast("long")).join(held.withColumnRenamed("held", "v"), ["v", "bucket"]).drop("v", "bucket")
         return data.join(idx.select("series_id", "window_id", "start_pos", "end_pos"), ["series_id", "window_id"])
 
     def range_windows(self, series_id: str, start: int, length: int, version: int | None = None) -> DataFrame:
