@@ -39,3 +39,20 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_rest_stands_without_the_training_data_part(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parent.parent
+    shutil.copytree(repo / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'range_aggregate' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); print(len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    for f in (repo / "tessera").rglob("*.py"):
+        if "llm" not in f.parts:
+            assert "from tessera.llm" not in f.read_text() and "import tessera.llm" not in f.read_text()
