@@ -3,25 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import shared_folder as shared_dir
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where set, else a temporary one (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera_")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def stage(df: DataFrame, name: str, codec: str = "snappy", files: int = 0) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut in the lineage that survives lost executors.
 

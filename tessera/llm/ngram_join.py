@@ -33,7 +33,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word)
         return got
@@ -78,25 +78,31 @@ def _slices(whole: np.ndarray) -> list[dict]:
     return [{"slice": i, "data": z.compress(np.ascontiguousarray(x).tobytes())} for i, x in enumerate(np.split(whole, SLICES)) if x.any()]
 
 
-def fold(slices: DataFrame, kind: str, size: int, op) -> np.ndarray:
+def fold(slices: DataFrame, kind: str, size: int, op, finish=None) -> np.ndarray:
     """Combine the tasks' parts (slice, data) of one array of ``size`` elements: in two steps on the cluster, then at the driver,
-    which holds just that one array. Its size is a parameter and does not grow with the data."""
+    which holds just that one array of bytes (``finish`` makes them). Its size is a parameter and does not grow with the data."""
     unzip = lambda b: np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
-    def merge(key, t):
+    def merged(key, t, last):
         out = None
         for b in t["data"].to_pylist():
             out = unzip(b) if out is None else op(out, unzip(b))
+        out = last(out) if last else out
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zstandard.ZstdCompressor(level=1).compress(out.tobytes())], pa.binary())})
 
-    parts = slices.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(FOLD))).groupBy("slice", "part").applyInArrow(merge, "slice int, data binary")
-    whole = np.zeros(size, kind)
+    parts = slices.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(FOLD))).groupBy("slice", "part").applyInArrow(lambda key, t: merged(key, t, None), "slice int, data binary")
+    whole = np.zeros(size, np.uint8)
     step = size // SLICES
-    for r in parts.groupBy("slice").applyInArrow(merge, "slice int, data binary").toLocalIterator():
-        whole[r["slice"] * step : (r["slice"] + 1) * step] = unzip(bytes(r["data"]))
+    for r in parts.groupBy("slice").applyInArrow(lambda key, t: merged(key, t, finish), "slice int, data binary").toLocalIterator():
+        whole[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.uint8)
     return whole
 
 
+def rank_of(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, by quarter powers of two."""
+    return np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+
 def survey(docs: DataFrame) -> DataFrame:
     """Of every document its set's size and node; of every task its part of a sketch that counts all shingles by hash bucket."""
 
@@ -152,10 +158,11 @@ def filter_of(wanted: DataFrame) -> np.ndarray:
     """A bit array of fixed size over (node, doc_id): what it lacks is not wanted, so its set need not be shuffled."""
 
     def run(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
         for b in batches:
-            bits[_filter_slots(b.column(0).to_numpy(), b.column(1).to_numpy())] = True
-        parts = _slices(np.packbits(bits))
+            slot = _filter_slots(b.column(0).to_numpy(), b.column(1).to_numpy())
+            np.bitwise_or.at(bits, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
+        parts = _slices(bits)
         yield pa.RecordBatch.from_arrays([pa.array([p["slice"] for p in parts], pa.int32()), pa.array([p["data"] for p in parts], pa.binary())], names=["slice", "data"])
 
     return fold(wanted.select("node", "rep").mapInArrow(run, "slice int, data binary"), "u1", (1 << FILTER_BITS) // 8, np.bitwise_or)
@@ -327,8 +334,7 @@ def join_classes(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     surveyed = stage(survey(docs), "survey")
-    counts = fold(surveyed.where("slice is not null").select("slice", "data"), "<u4", 1 << SKETCH_BITS, np.add)
-    rank = np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    rank = fold(surveyed.where("slice is not null").select("slice", "data"), "<u4", 1 << SKETCH_BITS, np.add, rank_of)
     rows = surveyed.where("slice is null").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
 
     reps = stage(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")

@@ -9,7 +9,6 @@ import re
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.common import sliced
 
@@ -126,20 +125,25 @@ def scan(docs: DataFrame, least_novelty: float = NOVELTY) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """The same rows with every span of ``text_col`` replaced by ``mask`` (overlapping spans as one); null stays null."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        def one(text):
-            if not text:
-                return text
-            base = base_spans(text)
-            spans = sorted(base + (novel_spans(text, base) if SENSITIVE.search(text) else []))
-            out, at = [], 0
-            for s, e, _ in spans:
-                if s >= at:
-                    out += [text[at:s], mask]
-                at = max(at, e)
-            return "".join(out) + text[at:]
-
-        return texts.map(one, na_action="ignore")
-
-    return docs.withColumn(text_col, clean(text_col))
+    names = docs.columns
+    place = names.index(text_col)
+
+    def clean(text):
+        if not text:
+            return text
+        base = base_spans(text)
+        spans = sorted(base + (novel_spans(text, base) if SENSITIVE.search(text) else []))
+        out, at = [], 0
+        for s, e, _ in spans:
+            if s >= at:
+                out += [text[at:s], mask]
+            at = max(at, e)
+        return "".join(out) + text[at:]
+
+    def run(batches):
+        for b in sliced(batches):
+            columns = list(b.columns)
+            columns[place] = pa.array(map(clean, columns[place].to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
