@@ -160,7 +160,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
             whole = pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:7]), blobs, *flags], names=names)
             yield whole.filter(pa.array(kind == 1))
 
-    both.mapInArrow(settle, STORED).write.option("compression", "zstd").parquet(path)
+    both.mapInArrow(settle, STORED).write.parquet(path)
     drop_staged(enc)
     drop_staged(first)
 
