@@ -385,7 +385,8 @@ def join_classes(docs: DataFrame) -> DataFrame:
     every = member.select("hub", "node").unionByName(member.select("hub", F.col("hub").alias("node")).distinct())
     every = stage(every.join(root, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label")), "labels")
     main = stage(every.where("hub = node").select("hub", F.col("label").alias("main")), "main")
-    done = nearest.groupBy("hub").agg(F.count("*").alias("compared")).join(size.where("blocks = 1"), "hub").select("hub", "compared")
+    # Nodes that only pair with a hub met it in the same block, but are not of its group.
+    done = nearest.join(member.select("hub", "node"), ["hub", "node"], "left_semi").groupBy("hub").agg(F.count("*").alias("compared")).join(size.where("blocks = 1"), "hub").select("hub", "compared")
     groups = every.join(main, "hub").groupBy("hub").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("odd")).where("odd > 0")
     groups = groups.join(done, "hub", "left").where("compared is null or compared < n - 1")
     groups = stage(groups.select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("odd") / BLOCK).cast("int").alias("parts")), "open")

@@ -46,6 +46,32 @@ def test_a_passage_that_many_share_links_nothing(spark):
     assert result(df) == classes(docs)
 
 
+def words(name, n):
+    return [f"{name}q{i}" for i in range(n)]
+
+
+def lost_link(salt):
+    """Texts of a group of 12 whose hub also has a partner by rare shingles only, and in which a (nearest to x, outside the group) and b
+    link only with each other. Rows repeated 30 times make their shingles common, so that they stay out of the prefixes."""
+    w = words(f"{salt}w", 44)
+    r, e = [words(f"{salt}r{i}", 8) for i in range(10)], [words(f"{salt}e{i}", 4) for i in range(10)]
+    group = [w + r[i] + e[i] for i in range(10)]
+    node = lambda t: ngram_join.node_of(ngram_join.shingles(" ".join(t)))
+    h = min(range(10), key=lambda i: node(group[i]))
+    own, v, f = words(f"{salt}o", 10), words(f"{salt}v", 40), words(f"{salt}f", 40)
+    a, b, x, c = w + own, w, w[40:] + own + v, w[40:] + r[h] + f
+    common = [(r[i] + e[i])[4:] for i in range(10)] + [own[6:] + v + words(f"{salt}y", 20), r[h][4:] + f + words(f"{salt}z", 20)]
+    fits = node(group[h]) < min(node(a), node(b), node(c)) and node(x) < node(a)
+    return [" ".join(t) for t in [a, b, *group, x, c] + 30 * common] if fits else None
+
+
+def test_partners_of_a_hub_do_not_pass_for_members_of_its_group(spark):
+    docs = list(enumerate(next(t for k in range(99) if (t := lost_link(f"k{k}")))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = result(df)
+    assert got[1] == (40, 0) and got == classes(docs)
+
+
 def test_threshold_is_inclusive(spark):
     # 18 shingles shared of 22 and 23 together: 0.8 is met at 20 of 25
     def doc(n, tail):
