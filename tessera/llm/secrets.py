@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import math
 import re
 
 import pyarrow as pa
@@ -47,8 +49,18 @@ IDENTIFIERS = (
 )
 #: A word that makes what follows it sensitive, and what a secret there could look like.
 SENSITIVE = re.compile(r"(?:passw|secret|token|api.?key|credential|auth|bearer|private.key|access.key|signature|ssh-)", re.I | re.A)
+LEAST_CANDIDATE = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH, AROUND, NOVELTY = 48, 256, 0.6
+#: What may stand between two lines of one wrapped secret: a line break, as such or escaped, quotes and margins.
+ADJOINS = re.compile(r"""[ \t"',\\]*(?:\r?\n|\\r?\\?n)[ \t"'>#*|]*""")
+#: A private key in armour, up to its END line or, where that is missing, to whatever comes next.
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(.*?)(-----END|(?=-----BEGIN)|\Z)", re.S)
+_LINE_END = r"""(?=[ \t"',]*(?:\r?\n|\\[nr]|\Z))"""
+#: Lines that a key without an END line goes on with: headers, key text.
+KEY_LINES = re.compile(rf"""(?:{ADJOINS.pattern}(?:[A-Za-z][A-Za-z0-9-]*:\x20[^\n\\]*(?:{ADJOINS.pattern}(?={ADJOINS.pattern}))?|[A-Za-z0-9+/=]{{16,}}|(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/=]+){_LINE_END})*""")
+#: The last, short line of a wrapped secret.
+TAIL = re.compile(rf"{ADJOINS.pattern}([A-Za-z0-9+/_=-]{{1,15}}){_LINE_END}")
 
 
 @functools.lru_cache(maxsize=1)
@@ -77,20 +89,88 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
+def least_novelty_of(candidate: str, least: float = NOVELTY) -> float:
+    """``least`` is for base-64, six bits a character; an alphabet of fewer letters can only be less novel. Words of one case with
+    marks between them are names, and measured as base-64."""
+    letters = {c for c in candidate if c.isalnum()}
+    if letters <= set("0123456789abcdef") or letters <= set("0123456789ABCDEF"):
+        return least * 4 / 6
+    one_case = not any(c in "_-/" for c in candidate) and (not any(c.isupper() for c in letters) or not any(c.islower() for c in letters))
+    return least * math.log2(36) / 6 if one_case else least
+
+
+def surroundings(text: str, start: int, end: int) -> str:
+    """The text around a candidate, without other copies of it (of its longest part between equals signs)."""
+    core = max(re.split(r"=(?=[^=])", text[start:end]), key=len)
+    gone = "\0" * len(core)
+    before = text[max(0, start - AROUND - len(core)) : start].replace(core, gone)[-AROUND:]
+    after = text[end : end + AROUND + len(core)].replace(core, gone)[:AROUND]
+    return (before + after).replace("\0", "")
+
+
+def is_novel(text: str, start: int, end: int, least: float) -> bool:
+    candidate = text[start:end]
+    if not (any(c.isdigit() for c in candidate) and any(c.isalpha() for c in candidate)):
+        return False
+    return novelty(candidate, surroundings(text, start, end)) >= least_novelty_of(candidate, least)
+
+
+def key_blocks(text: str, least: float) -> list[tuple[int, int]]:
+    """What stands between the lines that begin and end a private key, where any of it is novel."""
+    out = []
+    if "PRIVATE KEY" in text:
+        for m in KEY_BLOCK.finditer(text):
+            start, end = m.span(1)
+            if not m.group(2):
+                end = KEY_LINES.match(text, start, end).end()
+            if any(is_novel(text, *c.span(), least) for c in CANDIDATE.finditer(text, start, end)):
+                body = text[start:end]
+                out.append((start + len(body) - len(body.lstrip()), start + len(body.rstrip())))
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Strings near a sensitive word that neither the dictionary nor their surroundings can compress, outside ``base``."""
-    out, done = [], 0
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.start()), min(len(text), word.end() + REACH + 4096)):
-            if m.start() > word.end() + REACH:
-                break
-            done = m.end()
-            mixed = any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group())
-            if not mixed or any(s < m.end() and m.start() < e for s, e, _ in base):
+    """Strings near a sensitive word that neither the dictionary nor their surroundings can compress, outside ``base``.
+
+    The lines that adjoin such a string are near the word too, and of a private key all up to its END line is one span.
+    """
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    blocks, runs = key_blocks(text, least), (m.span() for m in CANDIDATE.finditer(text))
+    out, k, b, last = [(*x, "novel") for x in blocks], 0, 0, None
+    base, near = sorted(base), 0
+    ends = list(itertools.accumulate((e for _, e, _ in base), max))
+    for start, end in runs:
+        while k < len(words) and words[k][1] + REACH < start:
+            k += 1
+        chained = last is not None and (gap := ADJOINS.match(text, last)) is not None and gap.end() >= start
+        if chained:
+            start = max(start, gap.end())
+        else:
+            # From the first sensitive word that the run is near to, or has in it.
+            if k == len(words) or words[k][0] >= end:
+                last = None
                 continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            if novelty(m.group(), around) >= least:
-                out.append((*m.span(), "novel"))
+            start = max(start, words[k][0])
+        last = None
+        if end - start < LEAST_CANDIDATE:
+            continue
+        while b < len(blocks) and blocks[b][1] <= start:
+            b += 1
+        if b < len(blocks) and blocks[b][0] < end:
+            continue
+        last = end
+        while near < len(base) and ends[near] <= start:
+            near += 1
+        if near < len(base) and any(s < end and start < e for s, e, _ in itertools.takewhile(lambda x: x[0] < end, base[near:])):
+            continue
+        if is_novel(text, start, end, least):
+            out.append((start, end, "novel"))
+            if chained and (tail := TAIL.match(text, end)) and (any(c.isdigit() for c in tail[1]) or tail[1].endswith("=")):
+                out.append((*tail.span(1), "novel"))
+        elif not chained:
+            last = None
     return out
 
 
