@@ -16,9 +16,11 @@ from tessera.llm.common import sliced
 
 # HTML's element classes, as far as they matter for blocks of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+ASIDE = frozenset("svg template noscript".split())  # a run of text goes on after them
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -31,6 +33,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
+# Start tags that end an open svg: such an element can't stand in one.
+ENDS_SVG = CLOSES_P | frozenset("body br dd dt embed head hr img li meta b big code em i s small span strike strong sub sup tt u var".split())
 ATTR = re.compile(r"""([a-zA-Z_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 NAMES = re.compile(r"[a-z]+")
 
@@ -57,6 +61,7 @@ def parse(page: str) -> list[Node]:
     is supplied by the next element that can't stand inside; what is cut off at the end of the page ends there.
     """
     nodes, stack, at, run, links = [Node("root", -1)], [0], 0, -1, 0
+    outer: dict[int, tuple[int, int]] = {}  # of an open aside: the run of text and the links that it stands in
 
     def add(text: str) -> None:
         nonlocal run
@@ -73,9 +78,11 @@ def parse(page: str) -> list[Node]:
             nodes[run].linked += len(text)
 
     def close(upto: int) -> None:
-        nonlocal run
+        nonlocal run, links
+        run, links = outer.get(stack[upto], (-1, 0))
+        for k in stack[upto:]:
+            outer.pop(k, None)
         del stack[upto:]
-        run = -1
 
     pos, n = 0, len(page)
     while pos < n:
@@ -98,21 +105,31 @@ def parse(page: str) -> list[Node]:
                 for k in range(len(stack) - 1, 0, -1):
                     if nodes[stack[k]].tag == tag:
                         close(k)
-                        links = 0
                         break
-                run = -1
+                else:
+                    run = -1
             continue
+        closed = m.group(3).rstrip().endswith("/")
+        if outer and tag in ENDS_SVG:
+            for k in range(len(stack) - 1, 0, -1):
+                t = nodes[stack[k]].tag
+                if t == "svg":
+                    close(k)
+                if t in ("svg", "foreignobject", "desc", "template"):
+                    break
         if tag in INLINE:
-            links += tag == "a"
+            links += tag == "a" and not (closed and outer)
             continue
         if tag == "br":
             add(" ")
             continue
         if tag in RAW:
-            end = _RAW_END[tag].search(page, pos)
-            pos = end.end() if end else n
+            if not (closed and outer):
+                end = _RAW_END[tag].search(page, pos)
+                # Without an end tag only code goes on to the end of the page.
+                pos = end.end() if end else n if tag in ("script", "style") else pos
             continue
-        run, links = -1, 0
+        before, run, links = (run, links), -1, 0
         if tag in VOID:
             continue
         if tag in CLOSES_P:
@@ -121,7 +138,7 @@ def parse(page: str) -> list[Node]:
                 if t == "p":
                     close(k)
                     break
-                if t in CLOSES_P:
+                if t in CLOSES_P or t == "template":
                     break
         elif tag in SAME_ENDS:
             for k in range(len(stack) - 1, 0, -1):
@@ -134,8 +151,12 @@ def parse(page: str) -> list[Node]:
         attrs = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(m.group(3))} if m.group(3).strip() else {}
         names = tuple(NAMES.findall(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower())) if attrs else ()
         nodes.append(Node(tag, stack[-1], names, attrs.get("y", "")))
-        if not m.group(3).rstrip().endswith("/"):
+        if not closed:
             stack.append(len(nodes) - 1)
+            if tag in ASIDE:
+                outer[stack[-1]] = before
+        elif tag in ASIDE:
+            run, links = before
     return nodes
 
 
@@ -182,11 +203,12 @@ class Model:
 
 NAME_WEIGHT, TEXT_WEIGHT = 2.0, 0.7
 PARTS = frozenset(f"<{t}>" for t in ("p", "li", "td", "dd", "dt", "tr", "ul", "ol", "dl", "table", "div", "section"))
+SHOWN = 0.05  # of asides, which the labelled pages lack, whatever they stand in: they say nothing of it
 ROOT = 6.0  # the page as a whole is not main text
 
 
 def _kind(node: Node) -> str:
-    return "#" if node.tag == "#" else "p" if node.tag in ("p", "li", "td", "dd", "h1", "h2", "h3", "h4") else "box"
+    return "#" if node.tag == "#" else "aside" if node.tag in ASIDE else "p" if node.tag in ("p", "li", "td", "dd", "h1", "h2", "h3", "h4") else "box"
 
 
 def _add(a: float, b: float) -> float:
@@ -198,7 +220,7 @@ def _add(a: float, b: float) -> float:
 def train(pages: tuple[str, ...]) -> Model:
     """Potentials counted from labelled pages (``y`` attributes, inherited), each smoothed by one half a count."""
     own, total = defaultdict(lambda: [0.5, 0.5]), [1.0, 1.0]
-    pairs: dict[str, Counter] = {"#": Counter(), "p": Counter(), "box": Counter()}
+    pairs: dict[str, Counter] = {"#": Counter(), "p": Counter(), "box": Counter(), "aside": Counter()}
     for page in pages:
         nodes = parse(page)
         state = [0] * len(nodes)
@@ -219,6 +241,7 @@ def train(pages: tuple[str, ...]) -> Model:
             whole = c[p, 0] + c[p, 1] + 1.0
             rows.append((math.log((c[p, 0] + 0.5) / whole), math.log((c[p, 1] + 0.5) / whole)))
         edge[kind] = (rows[0], rows[1])
+    edge["aside"] = ((math.log(1 - SHOWN), math.log(SHOWN)),) * 2
     return Model(log_odds, edge)
 
 

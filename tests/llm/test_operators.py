@@ -214,6 +214,23 @@ def test_pages_of_the_data(spark, small):
         assert html_extract.main_text(r["html"]) == "\n".join(b for b in blocks if b)
 
 
+def test_text_after_pictures_and_hidden_elements():
+    first, icon, last = "The first sentence of this article is here.", '<path d="M0 0"/>', "The last sentence of this article is here."
+    for inside in ("<svg class='i'/>", f"<svg>{icon}</svg>", f"<svg>{icon}", f"<svg><g>{icon}</g>", "<svg><style/><title>Icon</title></svg>", "<noscript><img src=x></noscript>", "<template><div>x</template>", "<math/>"):
+        page = f"<body><article><p>{first} {inside} And more of it follows.</p><p>{last}</p></article>"
+        assert html_extract.main_text(page).split("\n")[-1] == last and html_extract.main_text(page).startswith(first)
+        if not inside.startswith("<svg>") or inside.endswith("</svg>"):
+            assert html_extract.main_text(page) == f"{first} And more of it follows.\n{last}"
+    for broken in ("<svg>", "<template>", "<noscript>", "<iframe>", "<textarea>"):
+        texts = [t for x in html_extract.parse(f"<article>{broken}<p>{first}</p></article><p>{last}</p>") for t in x.text]
+        assert texts == [first, last]
+    assert html_extract.main_text(f"<article><p>{first} So <math><mi>E</mi> = <mn>5</mn></math> holds.</p></article>") == f"{first} So E = 5 holds."
+    many = html_extract.main_text(f"<body><article><p>{first}</p>{'<svg></svg><noscript>x</noscript>' * 50}<p>{last}</p></article>")
+    assert many == f"{first}\n{last}"
+    shown = html_extract.main_text(f"<body><article><p>{first}</p><svg><text>An icon's own words</text></svg><noscript>Please switch scripts on.</noscript><p>{last}</p></article>")
+    assert shown == f"{first}\n{last}"
+
+
 def test_hand_labelled_pages_that_were_left_out():
     from tessera.llm.labelled_pages import PAGES
 
