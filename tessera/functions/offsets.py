@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import shared_folder
+
 
 def running_total(df: DataFrame, keys: list[str], order: str, amount: str, out: str, shift: int = 12) -> DataFrame:
     """Add ``out``: the sum of ``amount`` over the rows of the same keys with a smaller ``order`` (a long, unique within the keys).
@@ -25,10 +29,14 @@ def running_total(df: DataFrame, keys: list[str], order: str, amount: str, out:
 def positions(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
     """Number the rows from 0 in this order: a range-partitioned sort, then each partition's offset from the counts before it.
 
-    The driver sees one count per partition. ``order`` must be a total order for the numbers to be repeatable.
+    The sorted rows are written to the shared folder once: a second run of the sort may cut the partitions elsewhere. The driver
+    sees one count per partition. ``order`` must be a total order for the numbers to be repeatable.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     parts = parts.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    path = f"{shared_folder(df.sparkSession)}/tessera/positions-{uuid.uuid4().hex}"
+    parts.write.parquet(path)
+    parts = df.sparkSession.read.schema(parts.schema).parquet(path)
     counts = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     first, total = {}, 0
     for k in sorted(counts):

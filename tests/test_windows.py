@@ -135,3 +135,16 @@ def test_prefix_sums_over_many_blocks(spark):
     rows = spark.createDataFrame([("a", i * 3, i % 7) for i in range(200)], "series_id string, k long, n long")
     got = {r["k"]: r["t"] for r in running_total(rows, ["series_id"], "k", "n", "t", shift=4).collect()}
     assert got == {i * 3: sum(j % 7 for j in range(i)) for i in range(200)}
+
+
+def test_positions_over_many_partitions(spark):
+    from tessera.functions.offsets import positions
+
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(200_000).selectExpr("id * 7919 % 200003 as k", "cast(id as double) as value").repartition(5)
+        got = positions(rows, ["k"]).select("k", "pos").orderBy("k").toPandas()
+        assert (got["pos"] == range(200_000)).all()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
