@@ -16,6 +16,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import drop_staged, release, sliced, stage
 from tessera.llm.components import components
@@ -325,10 +326,10 @@ def join_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*cols).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def join_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns play no part).
+def named_roots(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node and root (a node of its component) of every row of ``docs``, staged; the last two are null without words,
+    or without an id.
 
-    Documents without words link with nothing and are their own component; a null id links with nothing and has a null component.
     Rows with equal texts are one node. No table of pairs within a group is made: a group of m nodes is split into blocks, and what it
     sends on is a forest.
     """
@@ -400,17 +401,41 @@ def join_classes(docs: DataFrame) -> DataFrame:
         more = join_blocks(cross.join(needed, "node").join(only(sets, needed), ["node", "rep"]), ["hub", "salt", "part"])
         root = components(stage(links.union(more), "links"))
     drop_staged(sets)
-    named = rows.join(root, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    named = stage(named, "named")
+    return stage(rows.join(root, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root")), "named")
+
+
+def join_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns play no part).
+
+    Documents without words link with nothing and are their own component; a null id links with nothing and has a null component.
+    """
+    named = named_roots(docs)
     least = stage(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component")), "least")
     out = named.join(least, "root", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+@F.arrow_udf(T.LongType())
+def node_of_text(text: pa.Array) -> pa.Array:
+    sets = map(shingles, text.to_pylist())
+    return pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document of each component only, all columns kept; rows with a null id stay."""
-    classes = join_classes(docs)
-    kept = stage(classes.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    rows = docs.join(kept, "doc_id", "left_semi")
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_copy = 1").drop("_copy")
-    return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` with the first document of each component only, all columns kept; rows with a null id stay.
+
+    An id may stand for several texts: each is a document of its own, and of rows equal in id and shingles one stays.
+    """
+    named = named_roots(docs).where("doc_id is not null")
+    first = named.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.*")
+    kept = stage(first.unionByName(named.where("root is null").select("doc_id", "node").distinct()), "kept")
+    node = F.coalesce("node", F.lit(-1))
+    several = stage(named.groupBy("doc_id").agg(F.min(node).alias("low"), F.max(node).alias("high")).where("low <> high").select("doc_id"), "several")
+    once = lambda df, *keys: df.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy("text"))).where("_copy = 1").select(*docs.columns)
+    rows = docs.join(kept.join(several, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+    rows = once(rows, "doc_id")
+    if several.limit(1).count():
+        mixed = docs.join(several, "doc_id", "left_semi").withColumn("_node", F.coalesce(node_of_text("text"), F.lit(-1)))
+        mixed = mixed.join(kept.select("doc_id", node.alias("_node")), ["doc_id", "_node"], "left_semi")
+        rows = rows.unionByName(once(mixed, "doc_id", "_node"))
+    return rows.unionByName(docs.where("doc_id is null"))

@@ -99,6 +99,14 @@ def test_keep_one(odd, empty):
     assert ngram_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_ids_with_several_texts(spark):
+    one, two, three = (" ".join(words(x, 30)) for x in "abc")
+    rows = [(1, one), (2, one), (2, two), (2, two.upper()), (3, two), (3, three), (3, three), (4, None), (4, one), (5, "e"), (6, "e"), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"] or 0, (r["text"] or "").lower()) for r in ngram_join.keep_one(docs).collect()))
+    assert kept == [(0, one), (1, one), (2, two), (3, three), (4, ""), (5, "e")]
+
+
 def test_tree_prunes_but_loses_no_link():
     rng = np.random.default_rng(8)
     pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
