@@ -139,72 +139,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return fit([(flat_at[ends[i] : ends[i + 1]], flat_x[ends[i] : ends[i + 1]]) for i in order], got["y"].to_numpy()[order].astype(float))
 
 
-def score(self, text: str) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.margin(*features(text))))))
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machine:
-    """Adam on the log loss, ``EPOCHS`` times over the rows and for ``LEAST_STEPS`` at least, in an order fixed by a seed.
-
-    Without rows every score is 0.5.
-    """
-    if not rows:
-        return Machine(0.0, np.zeros(DIM), np.zeros((DIM, RANK)))
-    rng = np.random.default_rng(SEED)
-    m = Machine(0.0, np.zeros(DIM), rng.normal(0, 0.01, (DIM, RANK)))
-    p = np.clip(labels.mean(), 0.01, 0.99)
-    m.bias = float(np.log(p / (1 - p)))
-    moments, step = [np.zeros((DIM, RANK + 1)), np.zeros((DIM, RANK + 1))], 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(BATCH, len(rows))))):
-        order = rng.permutation(len(rows))
-        for k in range(0, len(order), BATCH):
-            mine = order[k : k + BATCH]
-            at = np.concatenate([rows[i][0] for i in mine])
-            x = np.concatenate([rows[i][1] for i in mine])
-            size = np.array([len(rows[i][0]) for i in mine])
-            row, start = np.repeat(np.arange(len(mine)), size), np.cumsum(size) - size
-            pv = m.v[at] * x[:, None]
-            s = np.add.reduceat(pv, start)
-            z = m.bias + np.add.reduceat(m.w[at] * x, start) + 0.5 * (s * s - np.add.reduceat(pv * pv, start)).sum(1)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[mine]) / len(mine)
-            used, inv = np.unique(at, return_inverse=True)
-            each = (g[row] * x)[:, None] * np.concatenate([np.ones((len(at), 1)), s[row] - pv], 1)
-            grad = np.stack([np.bincount(inv, each[:, f], len(used)) for f in range(RANK + 1)], 1)
-            now = np.concatenate([m.w[used, None], m.v[used]], 1)
-            grad += DECAY * now
-            step += 1
-            a, b = moments
-            a[used] = 0.9 * a[used] + 0.1 * grad
-            b[used] = 0.999 * b[used] + 0.001 * grad * grad
-            now -= RATE * (a[used] / (1 - 0.9**step)) / (np.sqrt(b[used] / (1 - 0.999**step)) + 1e-8)
-            m.w[used], m.v[used] = now[:, 0], now[:, 1:]
-            m.bias -= RATE * float(g.sum())
-    return m
-
-
-def held_out(doc_id: Column) -> Column:
-    """Rows whose labels are never learnt from: crc32 of the id as text is a multiple of 5."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> Machine:
-    """Fit on at most ``max_rows`` labelled rows that are not held out, chosen by a hash of the id: the bound on what reaches the driver."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-
-    def run(batches):
-        for b in sliced(batches):
-            got = [features(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int64())), pa.array([x.tolist() for _, x in got], pa.list_(pa.float64()))], names=["doc_id", "y", "at", "x"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    got = picked.mapInArrow(run, f"doc_id {kind}, y int, at array<long>, x array<double>").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["at"].to_pylist(), got["x"].to_pylist(), strict=True), key=lambda r: r[0])
-    return fit([(np.array(a), np.array(x)) for _, _, a, x in rows], np.array([y for _, y, _, _ in rows], float))
-
-
 def score(docs: DataFrame, model: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: better) and ``predicted``, in the place of columns of these names.
 

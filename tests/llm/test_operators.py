@@ -295,3 +295,11 @@ def test_decontamination(spark, small, odd, empty):
     assert decontaminate.report(odd, bench).count() == odd.count() and decontaminate.report(empty, bench).count() == 0
     assert all(x[2:4] == (0, 0) for x in report(docs, bench.limit(0)))
     assert decontaminate.remove_documents(odd, bench).columns == odd.columns
+
+
+def test_no_function_is_defined_twice():
+    import ast
+    import inspect
+
+    names = [x.name for x in ast.parse(inspect.getsource(quality)).body if isinstance(x, ast.FunctionDef | ast.ClassDef)]
+    assert len(names) == len(set(names))
