@@ -47,39 +47,60 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-class Stock:
-    """How many pieces of each length are left, and what exactly fills a gap."""
+class SumIndex:
+    """Stock of lengths with an index from each sum to the pairs and triples of lengths that make it.
+
+    A sum's entry is made when it is first asked for, from the lengths in stock then: the larger part of each pair, and of each triple
+    the largest part, in descending order. Counts only fall, so what could not be taken once never can be again, and a cursor per entry
+    moves on past it for good: over a whole plan each entry is walked once.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.n = np.zeros(capacity + 1, np.int64)
         for length, k in counts.items():
             self.n[length] += k
-
-    def pair(self, gap: int, most: int) -> tuple[int, int] | None:
-        """Two lengths in stock with this sum, the larger one at most ``most`` and as large as can be."""
-        a = np.arange(min(most, gap - 1), (gap + 1) // 2 - 1, -1)
-        if not len(a):
-            return None
-        ok = (self.n[a] > 0) & (self.n[gap - a] > (a == gap - a))
-        k = int(ok.argmax())
-        return (int(a[k]), gap - int(a[k])) if ok[k] else None
+        self.pairs: dict[int, list] = {}
+        self.triples: dict[int, list] = {}
+
+    def _pair_entry(self, total: int) -> list:
+        if (e := self.pairs.get(total)) is None:
+            a = np.arange(min(total - 1, len(self.n) - 1), (total + 1) // 2 - 1, -1)
+            e = self.pairs[total] = [0, a[(self.n[a] > 0) & (self.n[total - a] > 0)].tolist() if len(a) else []]
+        return e
+
+    def _can_pair(self, a: int, b: int) -> bool:
+        return bool(self.n[a] > (a == b) and self.n[b] > 0)
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """Two lengths in stock with this sum, the larger one as large as can be."""
+        e = self._pair_entry(total)
+        while e[0] < len(e[1]):
+            a = e[1][e[0]]
+            if self._can_pair(a, total - a):
+                return a, total - a
+            e[0] += 1
+        return None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """Three lengths in stock with this sum, the largest one as large as can be, then the second."""
+        if (t := self.triples.get(total)) is None:
+            a = np.arange(min(total - 2, len(self.n) - 1), (total + 2) // 3 - 1, -1)
+            t = self.triples[total] = [0, a[self.n[a] > 0].tolist() if len(a) else [], 0]
+        while t[0] < len(t[1]):
+            a = t[1][t[0]]
+            rest = self._pair_entry(total - a)[1]
+            if self.n[a] > 0:
+                for k in range(t[2], len(rest)):
+                    b, t[2] = rest[k], k
+                    c = total - a - b
+                    if b <= a and self.n[a] > (a == b) + (a == c) and self._can_pair(b, c):
+                        return a, b, c
+            t[0], t[2] = t[0] + 1, 0
+        return None
 
     def complement(self, gap: int) -> tuple[int, ...]:
         """One, two or three lengths in stock that fill the gap exactly; () if there are none."""
-        if self.n[gap] > 0:
-            return (gap,)
-        if two := self.pair(gap, gap):
-            return two
-        there = np.flatnonzero(self.n[: gap - 1])[::-1]
-        for a in map(int, there):
-            if 3 * a < gap:
-                break
-            self.n[a] -= 1
-            two = self.pair(gap - a, min(a, gap - a - 1))
-            self.n[a] += 1
-            if two:
-                return (a, *two)
-        return ()
+        return (gap,) if self.n[gap] > 0 else self.pair(gap) or self.triple(gap) or ()
 
     def largest(self, gap: int) -> int:
         there = np.flatnonzero(self.n[1 : gap + 1])
@@ -92,7 +113,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
     Longest first; the gap is filled exactly where one to three lengths in stock add up to it, else by the largest
     that fits, again and again. Each pattern is used as often as the stock allows, so a step uses up a length.
     """
-    stock, out = Stock(counts, capacity), []
+    stock, out = SumIndex(counts, capacity), []
     for length in range(capacity, 0, -1):
         while stock.n[length]:
             items, gap = [length], capacity - length
