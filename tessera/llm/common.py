@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,25 +50,30 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
-def running_start(df: DataFrame, key: str, amount: str, out: str, shift: int = 12) -> DataFrame:
-    """Add ``out``: the sum of ``amount`` over all rows with a smaller ``key`` (a unique long).
+def running_start(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over all rows before in this order (nulls first).
 
-    Three levels (keys, blocks of 2**shift keys, blocks of blocks), so that no window holds more than 2**shift
-    rows of a level unless the table itself has over 2**(2*shift) such blocks.
+    One sort by ranges, written once with a running sum within each range; the ranges' own sums are as few as the partitions. Which of
+    rows equal in ``order`` comes first is open; where the rest of such rows is equal too, so is the result.
     """
-    block, top = F.shiftright(F.col(key), shift), F.shiftright(F.col("_block"), shift)
-    rows = df.withColumn("_block", block)
-    sums = rows.groupBy("_block").agg(F.sum(amount).alias("_sum")).withColumn("_top", top)
-    tops = sums.groupBy("_top").agg(F.sum("_sum").alias("_tsum"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("_top", F.coalesce(F.sum("_tsum").over(before(Window.orderBy("_top"))), F.lit(0)).alias("_t0"))
-    w = before(Window.partitionBy("_top").orderBy("_block"))
-    sums = sums.withColumn("_b0", F.coalesce(F.sum("_sum").over(w), F.lit(0))).join(tops, "_top")
-    sums = sums.select("_block", (F.col("_b0") + F.col("_t0")).alias("_off"))
-    w = before(Window.partitionBy("_block").orderBy(key))
-    rows = rows.withColumn("_in", F.coalesce(F.sum(amount).over(w), F.lit(0)))
-    joined = rows.join(sums, rows["_block"].eqNullSafe(sums["_block"]), "left").drop(sums["_block"])
-    return joined.withColumn(out, (F.col("_in") + F.col("_off")).cast("long")).drop("_block", "_in", "_off")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    names, at = rows.columns, rows.columns.index(amount)
+
+    def run(batches):
+        total = 0
+        for b in batches:
+            ends = total + np.cumsum(b.column(at).to_numpy(), dtype=np.int64)
+            if len(ends):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - b.column(at).to_numpy())], names=[*names, "_in"])
+                total = int(ends[-1])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    rows = stage(rows.mapInArrow(run, f"{kinds}, _in long"), "ranges")
+    sums = rows.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sums = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_first"))
+    joined = rows.join(F.broadcast(sums), F.col("_part") == F.col("_p"))
+    return joined.withColumn(out, (F.col("_in") + F.col("_first")).cast("long")).select(*df.columns, out)
 
 
 def sliced(batches, rows: int = 512):
