@@ -1,8 +1,8 @@
-"""Word-cached encoding with the public tokenizers.
+"""Encoding with the public tokenizers, and token counts at every prefix.
 
 A byte-level BPE never merges across the pieces its splitting pattern makes, so a text's ids are its pieces' ids in a
-row. Each worker keeps a bounded cache from piece to ids. Texts with characters outside Latin, with control characters or
-with a special token's string go to the library whole; all others are split here by the same pattern.
+row. For ids, texts with characters outside Latin, with control characters or with a special token's string go to the vocabulary's own
+library; all others to a faster one. Counts are made here for all texts, piece by piece, with a bounded cache per worker.
 """
 
 from __future__ import annotations
@@ -44,79 +44,17 @@ def tokenizer(name: str):
     return Tokenizer.from_file(vocabulary_path(name))
 
 
-class WordEncoder(dict):
-    """piece -> its ids as little-endian bytes; ``encode(text)`` gives a whole text's ids the same way."""
+class LibraryEncoder:
+    """A vocabulary's own library: ``encode(text)`` gives a whole text's ids as little-endian bytes."""
 
     def __init__(self, name: str, dtype: str = "<u4"):
-        super().__init__()
         self.tok, self.dtype = tokenizer(name), dtype
-        self.lower = bool(self.tok.normalizer)
-        self.pieces = _WORD_PIECES if self.lower else _BYTE_PIECES
-        self.edge = np.zeros(self.tok.get_vocab_size(), bool)
-        for token, i in self.tok.get_vocab().items():
-            self.edge[i] = token.endswith("</w>") if self.lower else token.startswith("\u0120")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = self._ids(piece)
-        return got
-
-    def _split(self, text: str) -> list[str] | None:
-        """The pieces of a text in the plain range; None for any other."""
-        if _NOT_PLAIN.search(text) or "<|" in text and _SPECIAL.search(text):
-            return None
-        if self.lower:
-            text = text.lower()
-            # U+0130 lower-cases to two characters; the plain range then no longer holds.
-            if "\u0307" in text:
-                return None
-        return self.pieces.findall(text)
 
     def encode(self, text: str) -> bytes:
-        pieces = self._split(text)
-        return self._ids(text) if pieces is None else b"".join(map(self.__getitem__, pieces))
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces not met before, in one call where the ids show where a piece begins or ends.
-
-        With word ends that is the id of each piece's last token; else a piece that starts with a space has the only token that does.
-        """
-        if self.lower:
-            joined, rest, text = new, [], " ".join(new)
-        else:
-            joined = [p for p in new if p[0] == " " and p[1:].isalpha()]
-            rest, text = [p for p in new if not (p[0] == " " and p[1:].isalpha())], "".join(joined)
-        ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
-        ends = np.flatnonzero(self.edge[ids]) + 1 if self.lower else np.append(np.flatnonzero(self.edge[ids])[1:], len(ids))
-        if len(ends) != len(joined):
-            ends, rest = [], new
-        raw, at, size = ids.tobytes(), 0, ids.itemsize
-        for piece, end in zip(joined, (np.asarray(ends, np.int64) * size).tolist(), strict=False):
-            self[piece] = raw[at:end]
-            at = end
-        for piece, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self[piece] = np.array(e.ids, self.dtype).tobytes()
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text. Pieces not met before go to the library together, a few hundred texts at a time."""
-        for k in range(0, len(texts), 128):
-            part = texts[k : k + 128]
-            if len(self) >= MAX_CACHED:
-                self.clear()
-            get, split, new = self.get, [self._split(t) for t in part], set()
-            found = [None if p is None else list(map(get, p)) for p in split]
-            for p, f in zip(split, found, strict=True):
-                if f and None in f:
-                    new.update(x for x, y in zip(p, f, strict=True) if y is None)
-            if new:
-                self._learn(list(new))
-            for text, p, f in zip(part, split, found, strict=True):
-                if p is None:
-                    yield self._ids(text)
-                else:
-                    yield b"".join(map(self.__getitem__, p) if None in f else f)
+        return map(self.encode, texts)
 
 
 class RankEncoder:
@@ -203,10 +141,10 @@ RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(name: str, dtype: str = "<u4") -> WordEncoder | RankEncoder | WordEndEncoder:
+def encoder(name: str, dtype: str = "<u4") -> LibraryEncoder | RankEncoder | WordEndEncoder:
     if name in RANKS:
         return RankEncoder(name, RANKS[name], dtype)
-    return WordEndEncoder(name, dtype) if tokenizer(name).normalizer else WordEncoder(name, dtype)
+    return WordEndEncoder(name, dtype) if tokenizer(name).normalizer else LibraryEncoder(name, dtype)
 
 
 class PrefixCounter(dict):
@@ -275,8 +213,10 @@ class PrefixCounter(dict):
             steps = self._spaces(text, steps)
         return int(np.frombuffer(steps, "i1").sum(dtype=np.int64)), steps
 
-    def _whole(self, piece: str) -> int:
-        return self._counts(piece)[-1]
+    def _run(self, run: str) -> np.ndarray:
+        """Tokens of every prefix of a run of white space, by characters: one pass over the run."""
+        counts = np.array(self._counts(run), np.int64)
+        return counts[1:] if run.isascii() else counts[np.cumsum([len(c.encode()) for c in run])]
 
     def _spaces(self, text: str, steps: bytes) -> bytes:
         """A prefix that ends in a run of white space has that run as one piece, though the whole text gives its last
@@ -284,38 +224,46 @@ class PrefixCounter(dict):
         counts = np.cumsum(np.frombuffer(steps, "i1"), dtype=np.int64)
         for m in _RUN.finditer(text):
             base = counts[m.start() - 1] if m.start() else 0
-            run = self._counts(m.group()) if m.group().isascii() else None
-            for k in range(1, len(m.group()) + 1):
-                counts[m.start() + k - 1] = base + (run[k] if run else self._whole(m.group()[:k]))
+            counts[m.start() : m.end()] = base + self._run(m.group())
         return np.diff(counts, prepend=0).astype("i1").tobytes()
 
     def _slow(self, text: str) -> tuple[int, bytes]:
-        """Any text: the library's own offsets give the pieces' borders; near a border the prefix is encoded again."""
-        import regex
-
-        whole = self.tok.encode(text, add_special_tokens=False)
-        counts, done = np.zeros(len(text), np.int64), 0
-        pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        at = 0
-        for part in re.split(r"(<\|endoftext\|>)", text):
-            if part == "<|endoftext|>":
-                back = next((m.start() for m in regex.finditer(r"\s*\S*\s*$", text[:at])), at)
-                head = len(self.tok.encode(text[:back], add_special_tokens=False).ids)
+        """Any text, by the same program: the pieces are split by the vocabulary's whole pattern, a special token's string is one token
+        once it is complete, and within one the prefix is encoded again from the last words before it."""
+        counts, done, at = np.zeros(len(text), np.int64), 0, 0
+        for part in _SPECIAL_SPLIT.split(text):
+            if part == _SPECIAL_TOKEN:
+                back = at
+                for inside in (str.isspace, lambda c: not c.isspace(), str.isspace):
+                    while back and inside(text[back - 1]):
+                        back -= 1
+                head = int(counts[back - 1]) if back else 0
                 for k in range(1, len(part)):
                     counts[at + k - 1] = head + len(self.tok.encode(text[back : at + k], add_special_tokens=False).ids)
                 done += 1
                 counts[at + len(part) - 1] = done
-            else:
-                for m in pieces.finditer(part):
+            elif part:
+                for m in _all_pieces().finditer(part):
                     step = np.cumsum(np.frombuffer(self[m.group()], "i1"), dtype=np.int64)
                     counts[at + m.start() : at + m.end()] = done + step
                     done += int(step[-1])
                 for m in _RUN.finditer(part):
                     base = counts[at + m.start() - 1] if at + m.start() else 0
-                    for k in range(1, len(m.group()) + 1):
-                        counts[at + m.start() + k - 1] = base + self._whole(m.group()[:k])
+                    counts[at + m.start() : at + m.end()] = base + self._run(m.group())
             at += len(part)
-        return len(whole.ids), np.diff(counts, prepend=0).astype("i1").tobytes()
+        return done, np.diff(counts, prepend=0).astype("i1").tobytes()
+
+
+#: The vocabulary's special token, and its whole splitting pattern.
+_SPECIAL_TOKEN = "<|endoftext|>"
+_SPECIAL_SPLIT = re.compile(r"(<\|endoftext\|>)")
+
+
+@functools.lru_cache(maxsize=1)
+def _all_pieces():
+    import regex
+
+    return regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 _RUN = re.compile(r"\s\s+")

@@ -1,4 +1,6 @@
+import itertools
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -7,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chunk_store, packing, token_counts
-from tessera.llm.bpe import WordEncoder, encoder, prefix_counter, tokenizer
+from tessera.llm.bpe import LibraryEncoder, encoder, prefix_counter, tokenizer
+from tessera.llm.common import running_start
 from tests.llm.conftest import ODD
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -23,7 +26,7 @@ def random_texts(n):
 def test_ids_are_the_librarys(spark, small, name):
     texts = random_texts(4000) + [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
     want = [e.ids for e in tokenizer(name).encode_batch(texts, add_special_tokens=False)]
-    for enc in (encoder(name), WordEncoder(name)):
+    for enc in (encoder(name), LibraryEncoder(name)):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_all(texts)] == want
 
 
@@ -35,6 +38,25 @@ def test_count_at_every_prefix():
         assert counts == [len(tok.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)] and total == counts[-1]
 
 
+def test_counts_of_any_text_are_the_programs_own_and_the_librarys():
+    rng, tok, counter = random.Random(9), tokenizer(BYTE), prefix_counter(BYTE)
+    chars = [chr(c) for c in [*range(1, 33), *range(0x370, 0x400), *range(0x4E00, 0x4E40), 0x2003, 0x3000, 0x200D, 0x1F600, 0x301]] + list("  \n\tab ") * 12
+    texts = ["".join(rng.choices(chars, k=rng.randrange(1, 80))) for _ in range(1500)] + ["<|endoftext|>".join(["", "a  ", " b", "中 "] * 3)]
+    assert [counter.prefixes(t)[0] for t in texts] == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for text in texts[:120] + texts[-1:]:
+        counts = np.cumsum(np.frombuffer(counter.prefixes(text)[1], "i1"), dtype=int).tolist()
+        assert counts == [len(tok.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
+
+
+def test_long_runs_of_white_space_take_linear_time():
+    for gap in (" ", "\u3000", "\n "):
+        text = "中" + gap * 20_000 + "x"
+        began = time.perf_counter()
+        total, steps = prefix_counter(BYTE).prefixes(text)
+        assert time.perf_counter() - began < 5
+        assert total == len(tokenizer(BYTE).encode(text, add_special_tokens=False).ids) and len(steps) == len(text)
+
+
 def test_budgets_from_the_store(spark, odd):
     kept = token_counts.prefix_counts(odd.where("doc_id between 3 and 8"))
     got = kept.select("doc_id", token_counts.count_at(F.col("steps"), F.lit(5)).alias("at5"), token_counts.longest_prefix(F.col("steps"), F.lit(4)).alias("fit")).collect()
@@ -107,6 +129,33 @@ def test_exact_complements_come_first():
         assert got == counts
 
 
+def test_sums_of_two_and_three_lengths_against_all_combinations():
+    rng = random.Random(1)
+    for _ in range(60):
+        counts = {rng.randrange(1, 40): rng.randrange(1, 3) for _ in range(rng.randrange(1, 12))}
+        index = packing.SumIndex(counts, 100)
+        for _ in range(12):
+            total = rng.randrange(2, 100)
+            stock = [x for x in range(101) for _ in range(int(index.n[x]))]
+            for k, ask in ((2, index.pair), (3, index.triple)):
+                there = {tuple(sorted(c, reverse=True)) for c in itertools.combinations(stock, k) if sum(c) == total}
+                assert ask(total) == (max(there) if there else None)
+            if got := index.complement(total):
+                for x in got:
+                    index.n[x] -= 1
+
+
+def test_running_start_of_sparse_null_and_repeated_keys(spark):
+    rng = random.Random(2)
+    rows = [(rng.getrandbits(62), rng.randrange(9), i) for i in range(3000)] + [(7, 4, 1)] * 50 + [(None, 5, 2), (None, 6, 3)]
+    got = running_start(spark.createDataFrame(rows, "k long, n long, i long"), ["k", "n", "i"], "n", "start").collect()
+    at = 0
+    for r in sorted(got, key=lambda r: (r["k"] is not None, r["k"] or 0, r["n"], r["i"], r["start"])):
+        assert r["start"] == at
+        at += r["n"]
+    assert len(got) == len(rows)
+
+
 def check_store(docs, rows):
     tok, at = tokenizer(WORD), 0
     rows = {r["doc_id"]: r for r in rows}
