@@ -29,13 +29,13 @@ SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 STOPS_AT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S,
-)
+# Attributes as HTML has them: a quote opens a value only right after the equals sign that follows a name; elsewhere it's a letter.
+_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+|(?=>|\Z))"""
+_ATTRS = rf"(?:[\s/]++|(?:=[^\s>/=]*+|[^\s>/=]++)(?:\s*+=\s*+{_VALUE})?+)*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})(?:>|\Z)", re.S)
 # Start tags that end an open svg: such an element can't stand in one.
 ENDS_SVG = CLOSES_P | frozenset("body br dd dt embed head hr img li meta b big code em i s small span strike strong sub sup tt u var".split())
-ATTR = re.compile(r"""([a-zA-Z_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""")
 NAMES = re.compile(r"[a-z]+")
 
 

@@ -1,4 +1,5 @@
 import math
+import time
 import re
 import zlib
 
@@ -231,6 +232,18 @@ def test_text_after_pictures_and_hidden_elements():
     assert shown == f"{first}\n{last}"
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    for tag in ("<p title=it's>", "<p it's>", '<p =">', '<p a="b>c" d=\'e>f\'>', "<p class = k id=x'y\">", "<p a= b=c'>", "<p a=b/c'd/>"):
+        page = f"<article>{tag}One sentence stands here.</p><p>I don't know the second.</p></article>"
+        assert html_extract.main_text(page) == "One sentence stands here.\nI don't know the second."
+    names = [x.names for x in html_extract.parse("<p class=\"big new\" id='lead'>x</p><p class=one'two>y</p>") if x.tag == "p"]
+    assert names == [("big", "new", "lead"), ("one", "two")]
+    began = time.perf_counter()
+    for many in ('<a x="', "<a '= ", "<a b=c "):
+        html_extract.main_text(many * 50_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_hand_labelled_pages_that_were_left_out():
     from tessera.llm.labelled_pages import PAGES
 
