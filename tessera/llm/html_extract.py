@@ -6,7 +6,7 @@ import functools
 import html
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -169,6 +169,12 @@ def words_of(node: Node) -> list[str]:
     return [f"len{min(8, len(text).bit_length())}", f"link{math.ceil(3 * min(1.0, link))}", "end" if text[-1:] in ".!?:;\"'»”)" else "open"]
 
 
+KINDS = ("#", "p", "box")
+SHOWN = 0.05  # of asides, which the labelled pages lack, whatever they stand in: they say nothing of it
+#: Training: steps of gradient ascent, and the weight of the penalty on large weights.
+STEPS, PENALTY = 120, 0.05
+
+
 @dataclass(frozen=True)
 class Model:
     """Log potentials: of a node's own words, and of a child's state given its parent's, by kind of child."""
@@ -176,14 +182,12 @@ class Model:
     own: dict[str, float]
     edge: dict[str, tuple[tuple[float, float], tuple[float, float]]]
 
-    def marginals(self, nodes: list[Node]) -> list[float]:
-        """Log odds that a node is main text, by sum-product: one pass from the leaves up, one from the root down."""
-        n = len(nodes)
-        own = [0.0] * n
-        for i, x in enumerate(nodes):
-            own[i] = sum([self.own.get(w, 0.0) for w in words_of(x)])
-        up = [(0.0, 0.0)] * n  # message of a node to its parent, by the parent's state
-        gather = [[0.0, o] for o in own]  # own potential and the children's messages, by state
+    def messages(self, nodes: list[Node], words: list[list[str]]) -> tuple[list, list, list]:
+        """Sum-product, one pass from the leaves up and one from the root down: of each node its message to the parent (by the parent's
+        state), what it gathers from below (by its own state), and its full log potential by state."""
+        n, weight = len(nodes), self.own
+        gather = [[0.0, sum([weight.get(w, 0.0) for w in ws])] for ws in words]
+        up = [(0.0, 0.0)] * n
         for i in range(n - 1, 0, -1):
             (e00, e01), (e10, e11) = self.edge[_kind(nodes[i])]
             g0, g1 = gather[i]
@@ -192,19 +196,16 @@ class Model:
             p[0] += m[0]
             p[1] += m[1]
         full = [gather[0]] + [[0.0, 0.0]] * (n - 1)
-        full[0] = [gather[0][0], gather[0][1] - ROOT]
         for i in range(1, n):
             (e00, e01), (e10, e11) = self.edge[_kind(nodes[i])]
             f = full[nodes[i].parent]
             d0, d1 = f[0] - up[i][0], f[1] - up[i][1]
             full[i] = [gather[i][0] + _add(d0 + e00, d1 + e10), gather[i][1] + _add(d0 + e01, d1 + e11)]
-        return [b - a for a, b in full]
-
+        return up, gather, full
 
-NAME_WEIGHT, TEXT_WEIGHT = 2.0, 0.7
-PARTS = frozenset(f"<{t}>" for t in ("p", "li", "td", "dd", "dt", "tr", "ul", "ol", "dl", "table", "div", "section"))
-SHOWN = 0.05  # of asides, which the labelled pages lack, whatever they stand in: they say nothing of it
-ROOT = 6.0  # the page as a whole is not main text
+    def marginals(self, nodes: list[Node]) -> list[float]:
+        """Log odds that a node is main text."""
+        return [b - a for a, b in self.messages(nodes, [words_of(x) for x in nodes])[2]]
 
 
 def _kind(node: Node) -> str:
@@ -217,36 +218,64 @@ def _add(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if a - b < 40 else a
 
 
-def train(pages: tuple[str, ...]) -> Model:
-    """Potentials counted from labelled pages (``y`` attributes, inherited), each smoothed by one half a count."""
-    own, total = defaultdict(lambda: [0.5, 0.5]), [1.0, 1.0]
-    pairs: dict[str, Counter] = {"#": Counter(), "p": Counter(), "box": Counter(), "aside": Counter()}
+def labelled(page: str) -> tuple[list[Node], list[int]]:
+    """A labelled page's nodes and states (``y`` attributes, inherited; the page as a whole is not main text)."""
+    nodes = parse(page)
+    state = [0] * len(nodes)
+    for i, x in enumerate(nodes[1:], 1):
+        state[i] = int(x.mark) if x.mark else state[x.parent]
+    return nodes, state
+
+
+def train(pages: tuple[str, ...], steps: int = STEPS, penalty: float = PENALTY) -> Model:
+    """All weights of the model, by gradient ascent on the likelihood of the labels: what the labels count of each feature less what
+    the sum-product marginals expect of it, and a penalty that keeps rare features small."""
+    data = []
     for page in pages:
-        nodes = parse(page)
-        state = [0] * len(nodes)
-        for i, x in enumerate(nodes[1:], 1):
-            state[i] = int(x.mark) if x.mark else state[x.parent]
-            pairs[_kind(x)][state[x.parent], state[i]] += 1
-            # A text or paragraph takes its state from where it stands; its own words are counted among its like.
-            total[state[i]] += 1
-            for w in words_of(x):
-                own[w][state[i]] += 1
-    prior = math.log(total[1] / total[0])
-    # What a text says of itself (length, links, ending) is correlated, what an element is named is the surer sign.
-    log_odds = {w: (math.log(b / a) - prior) * (NAME_WEIGHT if w[0] in "<." and w not in PARTS else TEXT_WEIGHT) for w, (a, b) in own.items()}
-    edge = {}
-    for kind, c in pairs.items():
-        rows = []
-        for p in (0, 1):
-            whole = c[p, 0] + c[p, 1] + 1.0
-            rows.append((math.log((c[p, 0] + 0.5) / whole), math.log((c[p, 1] + 0.5) / whole)))
-        edge[kind] = (rows[0], rows[1])
-    edge["aside"] = ((math.log(1 - SHOWN), math.log(SHOWN)),) * 2
-    return Model(log_odds, edge)
+        nodes, state = labelled(page)
+        data.append((nodes, [words_of(x) for x in nodes], state))
+    seen: dict[object, float] = defaultdict(float)
+    for nodes, words, state in data:
+        for i, ws in enumerate(words):
+            for w in ws:
+                seen[w] += state[i]
+            if i:
+                seen[_kind(nodes[i]), state[nodes[i].parent], state[i]] += 1
+    edges = [(k, a, b) for k in KINDS for a in (0, 1) for b in (0, 1)]
+    theta: dict[object, float] = dict.fromkeys([*seen, *edges], 0.0)
+    pace, before = dict.fromkeys(theta, 0.1), dict.fromkeys(theta, 0.0)
+    aside = ((math.log(1 - SHOWN), math.log(SHOWN)),) * 2
+
+    def model() -> Model:
+        edge = {k: tuple(tuple(theta[k, a, b] for b in (0, 1)) for a in (0, 1)) for k in KINDS}
+        return Model({w: v for w, v in theta.items() if isinstance(w, str)}, edge | {"aside": aside})
+
+    for _ in range(steps):
+        m, expected = model(), defaultdict(float)
+        for nodes, words, _ in data:
+            up, gather, full = m.messages(nodes, words)
+            for i, ws in enumerate(words):
+                d = full[i][1] - full[i][0]
+                p = 1 / (1 + math.exp(-max(-700.0, min(700.0, d))))
+                for w in ws:
+                    expected[w] += p
+                if i and (kind := _kind(nodes[i])) != "aside":
+                    f, z = full[nodes[i].parent], _add(*full[i])
+                    for a in (0, 1):
+                        for b in (0, 1):
+                            expected[kind, a, b] += math.exp(f[a] - up[i][a] + m.edge[kind][a][b] + gather[i][b] - z)
+        for w in theta:
+            g = seen[w] - expected[w] - penalty * theta[w]
+            # Each weight has a pace of its own, faster while the slope keeps its sign.
+            pace[w] = min(1.0, pace[w] * 1.2) if g * before[w] > 0 else max(1e-4, pace[w] * 0.5) if g * before[w] < 0 else pace[w]
+            theta[w] += math.copysign(pace[w], g) if g else 0.0
+            before[w] = g
+    return model()
 
 
 @functools.lru_cache(maxsize=1)
 def default_model() -> Model:
+    """Trained once a session, where it is first asked for; ``extract`` sends it to the tasks."""
     from tessera.llm.labelled_pages import PAGES
 
     return train(PAGES)
@@ -268,6 +297,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     Each page is read whole where it lies, without a shuffle; repeated rows give repeated results and an empty table an empty one.
     """
 
+    model = model or default_model()
+
     def run(batches):
         for b in sliced(batches):
             texts = [main_text(h or "", model) for h in b.column(2).to_pylist()]

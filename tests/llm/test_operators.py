@@ -1,6 +1,6 @@
 import math
-import time
 import re
+import time
 import zlib
 
 import numpy as np
@@ -128,6 +128,28 @@ def test_neighbours_on_odd_rows(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id = 100")).count() == 0
 
 
+def test_recall_of_a_full_shard_and_who_enters_by_search():
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(ann.SHARD_ROWS, 32)), rng.normal(size=(60, 32))[rng.integers(0, 60, ann.SHARD_ROWS)] + 0.1 * rng.normal(size=(ann.SHARD_ROWS, 32))):
+        x = x.astype(np.float32)
+        nodes, flat = ann.build(x, rng.integers(0, 2**63, len(x)).astype(np.uint64))
+        assert len(nodes) > 2 and all(len(m) == len(f) and f.max() < len(m) for m, f in zip(nodes, flat, strict=True))
+        q = x[::40].astype(float)
+        found, _ = ann.search(x, nodes, flat, q)
+        true = np.argsort((x**2).sum(1)[None] - 2 * q @ x.T, axis=1)[:, :11]
+        assert np.mean([len({*a[:11]} & {*b}) / 11 for a, b in zip(found, true, strict=True)]) >= 0.95
+
+
+def test_a_task_for_each_shard_and_block(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "vec_id long, vec array<double>")
+    index = ann.build_index(rows, 11, 150)
+    got = ann.search_index(index, rows.where("vec_id % 3 = 0"), 10, block=60)
+    per_task = ann.shard_blocks(index, rows.where("vec_id % 3 = 0"), 60)[0]
+    sizes = [r["n"] for r in per_task.where("qid is not null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 * 4 and set(sizes) == {1} and got.count() == 2000
+
+
 # 6: secrets
 def plain_base(text):
     out = []
@@ -245,16 +267,13 @@ def test_quotes_open_values_only_after_an_equals_sign():
 
 
 def test_hand_labelled_pages_that_were_left_out():
-    from tessera.llm.labelled_pages import PAGES
+    from tessera.llm.labelled_pages import PAGES, TURNS
 
-    kinds = len(PAGES) // 7
+    kinds = len(PAGES) // len(TURNS)
     right = total = 0
     for i in range(kinds):
-        model = html_extract.train(tuple(p for j, p in enumerate(PAGES) if j % kinds != i))
-        nodes = html_extract.parse(PAGES[i])
-        state = [0] * len(nodes)
-        for k, x in enumerate(nodes[1:], 1):
-            state[k] = int(x.mark) if x.mark else state[x.parent]
+        model = html_extract.train(tuple(p for j, p in enumerate(PAGES) if j % kinds != i), steps=60)
+        nodes, state = html_extract.labelled(PAGES[i])
         for x, s, o in zip(nodes, state, model.marginals(nodes), strict=True):
             if x.tag == "#":
                 total += 1
@@ -262,6 +281,23 @@ def test_hand_labelled_pages_that_were_left_out():
     assert right / total > 0.93
 
 
+def test_training_climbs_the_likelihood():
+    from tessera.llm.labelled_pages import PAGES
+
+    def likelihood(model):
+        whole = 0.0
+        for page in PAGES[:20]:
+            nodes, state = html_extract.labelled(page)
+            words = [html_extract.words_of(x) for x in nodes]
+            score = sum(s * sum(model.own.get(w, 0.0) for w in ws) for s, ws in zip(state, words, strict=True))
+            score += sum(model.edge[html_extract._kind(x)][state[x.parent]][s] for x, s in zip(nodes[1:], state[1:], strict=True))
+            whole += score - html_extract._add(*model.messages(nodes, words)[2][0])
+        return whole
+
+    got = [likelihood(html_extract.train(PAGES[:20], steps=k)) for k in (1, 5, 20, 80)]
+    assert got == sorted(got) and got[-1] > got[0] / 10
+
+
 def test_marginals_are_exact():
     from itertools import product
 
@@ -269,7 +305,7 @@ def test_marginals_are_exact():
     nodes = html_extract.parse("<div><p>A sentence here.</p><ul><li><a>x</a></li></ul></div>")
     score = [[0.0, 0.0] for _ in nodes]
     for states in product((0, 1), repeat=len(nodes)):
-        s = -html_extract.ROOT * states[0] + sum(sum(m.own.get(w, 0.0) for w in html_extract.words_of(x)) * t for x, t in zip(nodes, states, strict=True))
+        s = sum(sum(m.own.get(w, 0.0) for w in html_extract.words_of(x)) * t for x, t in zip(nodes, states, strict=True))
         s += sum(m.edge[html_extract._kind(x)][states[x.parent]][t] for x, t in zip(nodes[1:], states[1:], strict=True))
         for i, t in enumerate(states):
             score[i][t] += math.exp(s)
