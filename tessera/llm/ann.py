@@ -1,4 +1,8 @@
-"""Nearest neighbours by one navigable small-world hierarchy per shard, kept as flat neighbour arrays (operator 4)."""
+"""Nearest neighbours by one navigable small-world hierarchy per shard, kept as flat neighbour arrays (operator 4).
+
+Nodes enter a shard's graph by search: those already in it are searched for the newcomer's neighbours, layer by layer, newcomers in
+batches no larger than what is there, so that a search of all of a batch is a few numpy steps.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
 
-LINKS, EF_BUILD, EF_SEARCH, SHARD_ROWS, QUERY_BLOCK, SALTS = 16, 48, 160, 16_384, 1_024, 64
+LINKS, EF_BUILD, EF_SEARCH, SHARD_ROWS, QUERY_BLOCK, SALTS = 12, 40, 256, 8_192, 4_096, 64
+FIRST, BATCH, MAX_TASKS = 48, 1_024, 20_000
 INDEX = "shard int, dim int, n int, vectors binary, id_start binary, ids binary, node_start binary, nodes binary, width binary, links binary"
 
 
@@ -31,76 +36,105 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return part.groupBy("vec").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
-def knn(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest of each row among the others (exact, in blocks): the candidates from which links are chosen."""
-    n = len(x)
-    k, out, norm = min(k, n - 1), np.empty((n, max(0, min(k, n - 1))), np.int32), (x * x).sum(1)
-    for s in range(0, n if k > 0 else 0, 512):
-        d = norm[None, :] - 2 * (x[s : s + 512] @ x.T)
-        d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(d, axis=1)[:, :k]
-        out[s : s + 512] = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
-    return out
-
-
-def choose_links(x: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
-    """At most ``most`` links of each node, -1 where there is none: a candidate is linked if it is nearer to the node than to all
-    links before it, spare places go to the nearest others; then links are made to run both ways where there is room."""
-    n, k = near.shape
-    links = np.full((n, most), -1, np.int32)
-    for s in range(0, n, 1024):
-        c = near[s : s + 1024]
-        v = x[c]
-        to_node = ((v - x[s : s + 1024, None, :]) ** 2).sum(2)
-        sq = (v * v).sum(2)
-        between = sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
-        kept = np.zeros(c.shape, bool)
-        for j in range(k):
-            kept[:, j] = ~(kept[:, :j] & (between[:, j, :j] < to_node[:, j, None])).any(1) & (kept.sum(1) < most)
-        order = np.argsort(~kept, axis=1, kind="stable")[:, :most]
-        links[s : s + 1024, : order.shape[1]] = np.take_along_axis(c, order, 1)
-    src, dst = np.repeat(np.arange(n), most), links.ravel()
+def heights(seeds: np.ndarray, links: int = LINKS) -> np.ndarray:
+    """A node's top layer, drawn from its hash: each layer holds about 1 in ``links`` of the nodes below it."""
+    u = (seeds.astype(np.uint64) >> np.uint64(11)).astype(float) / (1 << 53)
+    return np.floor(-np.log(np.maximum(u, 1e-18)) / math.log(links)).astype(int)
+
+
+def chosen(x: np.ndarray, q: np.ndarray, near: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` of each row's candidates (``near``, nearest first, -1 where none): one is linked if it is nearer to the node than
+    to all links before it, spare places go to the nearest others."""
+    v = x[np.maximum(near, 0)]
+    sq = np.einsum("ijk,ijk->ij", v, v)
+    between = sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
+    there, kept = near >= 0, np.zeros(near.shape, bool)
+    for j in range(near.shape[1]):
+        kept[:, j] = there[:, j] & ~(kept[:, :j] & (between[:, j, :j] < dist[:, j, None])).any(1) & (kept.sum(1) < most)
+    order = np.argsort(np.where(kept, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(near, order, 1)
+
+
+def link_back(x: np.ndarray, flat: np.ndarray, new: np.ndarray, links: np.ndarray) -> None:
+    """Make the newcomers' links run both ways: a node with more neighbours than places keeps those that ``chosen`` takes."""
+    src, dst = np.repeat(new, links.shape[1]), links.ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
-    a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
-    both = np.unique(a.astype(np.int64) * n + b)
-    a, b = both // n, both % n
-    d = ((x[a] - x[b]) ** 2).sum(1)
-    own = np.isin(both, src.astype(np.int64) * n + dst)
-    order = np.lexsort((d, ~own, a))
-    a, b = a[order], b[order]
-    start = np.searchsorted(a, np.arange(n))
-    rank = np.arange(len(a)) - start[a]
-    out = np.full((n, 2 * most), -1, np.int32)
-    ok = rank < 2 * most
-    out[a[ok], rank[ok]] = b[ok]
-    return out
-
-
-def build(x: np.ndarray, seeds: np.ndarray, links: int = LINKS) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    if not len(dst):
+        return
+    order = np.argsort(dst, kind="stable")
+    src, dst = src[order], dst[order]
+    hubs, first, count = np.unique(dst, return_index=True, return_counts=True)
+    wide = flat.shape[1]
+    room = np.full((len(hubs), int(count.max())), -1, np.int64)
+    room[np.repeat(np.arange(len(hubs)), count), np.arange(len(dst)) - np.repeat(first, count)] = src
+    both = np.concatenate([flat[hubs].astype(np.int64), room], 1)
+    for s in range(0, len(hubs), 512):
+        c, h = both[s : s + 512], hubs[s : s + 512]
+        d = ((x[np.maximum(c, 0)] - x[h][:, None, :]) ** 2).sum(2)
+        d[c < 0] = np.inf
+        rank = np.argsort(d, axis=1, kind="stable")[:, : 2 * wide]
+        c, d = np.take_along_axis(c, rank, 1), np.take_along_axis(d, rank, 1)
+        full = (c >= 0).sum(1) > wide
+        out = c[:, :wide]
+        if full.any():
+            out[full] = chosen(x, x[h[full]], c[full], d[full], wide)
+        flat[h, : out.shape[1]] = out
+
+
+def build(x: np.ndarray, seeds: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, batch: int = BATCH) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Layers from the bottom up: the nodes of each, and their neighbours as a flat array of places in that layer.
 
-    A node's height is drawn from its hash, each layer holding about 1 in ``links`` of the nodes below it.
+    Nodes enter in the order of ``x``; each batch finds its candidates by a search of the graph so far, down the layers, and among itself.
     """
-    u = (seeds.astype(np.uint64) >> np.uint64(11)).astype(float) / (1 << 53)
-    height = np.floor(-np.log(np.maximum(u, 1e-18)) / math.log(links)).astype(int)
-    nodes, neighbours, level = [np.arange(len(x))], [], 0
-    while True:
-        mine = nodes[level]
-        part = x[mine].astype(np.float32)
-        near = knn(part, EF_BUILD)
-        neighbours.append(choose_links(part, near, links) if near.shape[1] else np.full((len(mine), 1), -1, np.int32))
-        upper = mine[height[mine] > level]
-        if len(mine) <= 2 * links or not len(upper):
-            return nodes, neighbours
-        nodes.append(upper)
-        level += 1
+    n, x = len(x), x.astype(np.float32)
+    top = heights(seeds, links)
+    nodes = [np.flatnonzero(top >= k) for k in range(int(top.max(initial=0)) + 1)]
+    flat = [np.full((len(m), 2 * links), -1, np.int32) for m in nodes]
+    done = 0
+    while done < n:
+        upto = min(n, max(FIRST, min(2 * done, done + batch)))
+        entry = None
+        for k in range(len(nodes) - 1, -1, -1):
+            m, xs = nodes[k], x[nodes[k]]
+            old, end = int(np.searchsorted(m, done)), int(np.searchsorted(m, upto))
+            q = x[done:upto]
+            if old:
+                # Above their own top layer newcomers only pass through.
+                if entry is None:
+                    entry = np.tile(np.arange(min(old, ef)), (len(q), 1))
+                ids, dist = beam(xs[:old], flat[k][:old], q, entry, ef if k == 0 or old < 4 * ef else max(16, ef // 2))
+            else:
+                ids, dist = np.full((len(q), 1), -1, np.int64), np.full((len(q), 1), np.inf, np.float32)
+            if end > old:
+                mine = m[old:end] - done
+                own = ((xs[old:end][:, None, :] - xs[None, old:end]) ** 2).sum(2) if end - old < 64 else _squares(xs[old:end])
+                own[np.arange(end - old), np.arange(end - old)] = np.inf
+                near = np.argsort(own, axis=1, kind="stable")[:, :ef]
+                c = np.concatenate([ids[mine], np.where(np.isfinite(np.take_along_axis(own, near, 1)), near + old, -1)], 1)
+                d = np.concatenate([dist[mine], np.take_along_axis(own, near, 1)], 1).astype(np.float32)
+                rank = np.argsort(d, axis=1, kind="stable")[:, :ef]
+                c, d = np.take_along_axis(c, rank, 1), np.take_along_axis(d, rank, 1)
+                c[~np.isfinite(d)] = -1
+                got = chosen(xs, xs[old:end], c, d, links)
+                flat[k][old:end, : got.shape[1]] = got
+                link_back(xs, flat[k], np.arange(old, end), got)
+            if k:
+                place = np.searchsorted(nodes[k - 1], m)
+                entry = np.where(ids >= 0, place[np.maximum(ids, 0)], -1) if old else None
+        done = upto
+    return nodes, flat
+
+
+def _squares(a: np.ndarray) -> np.ndarray:
+    sq = (a * a).sum(1)
+    return np.maximum(sq[:, None] + sq[None, :] - 2 * (a @ a.T), 0)
 
 
 def beam(x: np.ndarray, neighbours: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of one layer for many queries at once: the ``ef`` nearest found, nearest first (-1 where none)."""
     m, n = len(q), len(x)
     ids = np.full((m, ef), -1, np.int64)
-    dist, done, seen = np.full((m, ef), np.inf), np.zeros((m, ef), bool), np.zeros((m, n + 1), bool)
+    dist, done, seen = np.full((m, ef), np.inf, np.float32), np.zeros((m, ef), bool), np.zeros((m, n + 1), bool)
 
     def merge(rows: np.ndarray, new: np.ndarray) -> None:
         fresh = (new >= 0) & ~seen[rows[:, None], new]
@@ -108,8 +142,11 @@ def beam(x: np.ndarray, neighbours: np.ndarray, q: np.ndarray, entry: np.ndarray
         order = np.argsort(np.where(fresh, new, n), axis=1, kind="stable")
         new, fresh = np.take_along_axis(new, order, 1), np.take_along_axis(fresh, order, 1)
         fresh[:, 1:] &= ~((new[:, 1:] == new[:, :-1]) & fresh[:, :-1])
-        d = ((x[new] - q[rows][:, None, :]) ** 2).sum(2)
-        d[~fresh] = np.inf
+        at = np.flatnonzero(fresh.ravel())
+        gap = x[new.ravel()[at]]
+        gap -= q[rows[at // new.shape[1]]]
+        d = np.full(new.shape, np.inf, np.float32)
+        d.ravel()[at] = np.einsum("ij,ij->i", gap, gap)
         seen[rows[:, None], np.where(fresh, new, n)] = True
         all_d, all_i = np.concatenate([dist[rows], d], 1), np.concatenate([ids[rows], np.where(fresh, new, -1)], 1)
         all_done = np.concatenate([done[rows], ~fresh], 1)
@@ -169,19 +206,37 @@ def build_index(rows: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) -> Dat
     return index
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, block: int = QUERY_BLOCK) -> DataFrame:
-    """The k nearest of each query in every shard, merged: query_id, rank, vec_id, score. ``queries``: vec_id and vec.
+def shard_blocks(index: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> tuple[DataFrame, int]:
+    """Every shard's row next to every block of about ``block`` queries (``qid``, ``qvec``), a pair of them a task; and how many tasks.
 
-    Queries go to each shard in blocks of about ``block``; a task holds one shard and one block.
+    A shard's row comes right before its block. The pair's own number, not a hash, is the task, so no two pairs meet by chance.
     """
-    kind, blocks = index.vector_kind, max(1, -(-queries.count() // block))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("dim", F.size("vec"))
+    blocks = max(1, -(-queries.count() // block))
+    shards = index.agg(F.max("shard")).first()[0]
+    shards = 1 if shards is None else shards + 1
+    q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("vec"))
     q = q.groupBy("block", "dim").agg(F.collect_list("vec_id").alias("qid"), F.flatten(F.collect_list("vec")).alias("qvec"))
-    pairs = q.join(index, "dim").select("qid", "qvec", *(c.split()[0] for c in INDEX.split(", ")))
+    parts, names = min(MAX_TASKS, shards * blocks), ["shard", "block", "dim", "qid", "qvec", *(c.split()[0] for c in INDEX.split(", ")[2:])]
+    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    at = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = at.unionByName(q, allowMissingColumns=True).withColumn("part", F.pmod(F.col("shard") * blocks + F.col("block"), F.lit(parts)).cast("int"))
+    return both.repartitionById(parts, "part").sortWithinPartitions("shard", "block", "dim", F.col("qid").isNotNull()).select(*names), parts
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, block: int = QUERY_BLOCK) -> DataFrame:
+    """The k nearest of each query in every shard, merged: query_id, rank, vec_id, score. ``queries``: vec_id and vec."""
+    kind, pairs = index.vector_kind, shard_blocks(index, queries, block)[0]
 
     def run(batches):
+        shard: dict = {}
         for b in batches:
             for r in b.to_pylist():
+                if r["qid"] is None:
+                    shard = r
+                    continue
+                if (shard.get("shard"), shard.get("block"), shard.get("dim")) != (r["shard"], r["block"], r["dim"]):
+                    continue  # no vector of this length in the shard
+                r = shard | {"qid": r["qid"], "qvec": r["qvec"]}
                 x = np.frombuffer(r["vectors"], kind).reshape(r["n"], r["dim"])
                 at, width, nodes, flat = (np.frombuffer(r[c], t) for c, t in (("node_start", "<i8"), ("width", "<i8"), ("nodes", "<i4"), ("links", "<i4")))
                 layers = [nodes[s:e] for s, e in zip(at, at[1:], strict=False)]
