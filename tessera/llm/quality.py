@@ -8,13 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import sliced
 
 DIM, RANK, BINS = 1 << 15, 8, 16
 MAX_TRAIN_ROWS = 6_000
+#: Most features (8 bytes each) of all training rows together that reach the driver.
+MAX_TRAIN_FEATURES = 4_000_000
 THRESHOLD = 0.3
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 12, 400, 128, 0.02, 1e-4, 11
 
@@ -71,8 +73,18 @@ class Machine:
         s = p.sum(0)
         return self.bias + float(self.w[at] @ x) + 0.5 * float(s @ s - (p * p).sum())
 
-    def score(self, text: str) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.margin(*features(text))))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The scores of many texts at once, null ones as empty."""
+        if not texts:
+            return np.zeros(0)
+        rows = [features(t or "") for t in texts]
+        at, x = (np.concatenate(c) for c in zip(*rows, strict=True))
+        size = np.array([len(r[0]) for r in rows])
+        start = np.cumsum(size) - size
+        pv = self.v[at] * x[:, None]
+        s = np.add.reduceat(pv, start)
+        z = self.bias + np.add.reduceat(self.w[at] * x, start) + 0.5 * (s * s - np.add.reduceat(pv * pv, start)).sum(1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machine:
@@ -119,8 +131,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> Machine:
-    """Fit on at most ``max_rows`` labelled rows that are not held out, chosen by a hash of the id: the bound on what reaches the driver."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS, max_features: int = MAX_TRAIN_FEATURES) -> Machine:
+    """Fit on at most ``max_rows`` labelled rows that are not held out, chosen by a hash of the id, and on as many of them as have
+    ``max_features`` features together: the bounds on what reaches the driver.
+
+    Null labels and ids teach nothing; of an id with several labels the largest counts, of one with several texts the least; null texts are
+    empty. Without labels or documents every score is 0.5.
+    """
     known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -128,13 +145,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     def run(batches):
         for b in sliced(batches):
             got = [features(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int64())), pa.array([x.tolist() for _, x in got], pa.list_(pa.float64()))], names=["doc_id", "y", "at", "x"])
+            ends = pa.array(np.cumsum([0, *(len(a) for a, _ in got)]), pa.int32())
+            flat = lambda k, t: pa.array(np.concatenate([r[k] for r in got] or [[]]).astype(t))
+            lists = [pa.ListArray.from_arrays(ends, flat(k, t)) for k, t in ((0, np.int32), (1, np.float32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], names=["doc_id", "y", "at", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    got = picked.mapInArrow(run, f"doc_id {kind}, y int, at array<long>, x array<double>").toArrow()
+    rows = picked.mapInArrow(run, f"doc_id {kind}, y int, at array<int>, x array<float>")
+    upto = F.sum(F.size("at")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # at most max_rows rows
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= max_features).drop("upto").toArrow()
     at, x = (got[c].combine_chunks() for c in ("at", "x"))
-    ends, flat_at, flat_x = at.offsets.to_numpy(), at.values.to_numpy(), x.values.to_numpy()
+    ends, flat_at, flat_x = at.offsets.to_numpy(), at.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(float)
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     return fit([(flat_at[ends[i] : ends[i + 1]], flat_x[ends[i] : ends[i + 1]]) for i in order], got["y"].to_numpy()[order].astype(float))
 
@@ -151,8 +173,8 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", threshold: fl
     def run(batches):
         m = shared.value
         for b in sliced(batches):
-            scores = [m.score(t or "") for t in b.column(names.index(text_col)).to_pylist()]
-            predicted = pa.array([int(x >= threshold) for x in scores], pa.int32())
+            scores = m.scores(b.column(names.index(text_col)).to_pylist())
+            predicted = pa.array((scores >= threshold).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), predicted], names=[*names, "score", "predicted"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -166,13 +188,16 @@ def accepted(docs: DataFrame, model: Machine, text_col: str = "text", threshold:
     def run(batches):
         m = shared.value
         for b in sliced(batches):
-            yield b.filter(pa.array([m.score(t or "") >= threshold for t in b.column(place).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(m.scores(b.column(place).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; nothing but the text enters a score."""
+    """doc_id, held_out, score and predicted of every row; nothing but the text enters a score.
+
+    Null texts score as empty ones; rows with one text have one score, whatever their ids; an empty table gives an empty table.
+    """
     model = train(docs, labels, max_rows=max_rows)
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

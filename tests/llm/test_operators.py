@@ -73,6 +73,44 @@ def test_quality_on_rows_it_never_saw(spark):
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.3
 
 
+def plain_score(model, text):
+    """The score by all pairs of features, with words and statistics counted afresh."""
+    raw = text.encode()
+    words, n = raw.lower().split(), max(1, len(raw))
+    share = lambda kept: sum(c in kept for c in raw) / n
+    lines = raw.split(b"\n")
+    shares = [
+        math.log2(n + 1) / 20, share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#$%&*@^~<>{}[]\\_+="), share(b"|"), share(b"\n"), share(b" \t"), share(range(128, 256)), n / max(1, len(words)) / 40,
+        len(set(words)) / max(1, len(words)), len(set(lines)) / len(lines), max(lines.count(x) * len(x) for x in lines) / n, sum(len(w) < 4 for w in words) / max(1, len(words)), text.endswith((".", "!", "?")), share(b"!?"), share(range(9)),
+    ]
+    x = {k * quality.BINS + min(quality.BINS - 1, int(quality.BINS * math.sqrt(v))): 1 / math.sqrt(len(shares)) for k, v in enumerate(shares)}
+    counts, first = {}, len(shares) * quality.BINS
+    for w in words:
+        slot = first + zlib.crc32(w) % (quality.DIM - first)
+        counts[slot] = counts.get(slot, 0) + 1
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values())) or 1.0
+    x |= {k: math.log1p(c) / norm for k, c in counts.items()}
+    at, val = np.array(sorted(x)), np.array([x[k] for k in sorted(x)])
+    v = model.v[at] * val[:, None]
+    pairs = sum(float(v[i] @ v[:i].sum(0)) for i in range(len(at)))
+    return 1 / (1 + math.exp(-(model.bias + float(model.w[at] @ val) + pairs)))
+
+
+def test_quality_report_against_all_pairs_of_features(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    mine = sorted(d for d in known if d in rows and zlib.crc32(str(d).encode()) % 5)
+    model = quality.fit([tuple(np.asarray(c, np.float32).astype(float) if k else c for k, c in enumerate(quality.features(rows[d]))) for d in mine], np.array([float(known[d]) for d in mine]))
+    got = {r["doc_id"]: r for r in quality.quality_report(docs, labels).collect()}
+    assert got.keys() == rows.keys()
+    for d, text in rows.items():
+        want = plain_score(model, text)
+        assert got[d]["score"] == pytest.approx(want, abs=1e-9) and got[d]["predicted"] == int(want >= 0.3) and got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0)
+    few = quality.train(docs, labels, max_features=20_000)
+    assert np.isfinite(few.v).all() and abs(few.bias) < 10
+
+
 def test_quality_on_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality_report(odd, labels).collect()
@@ -174,10 +212,50 @@ def test_base_spans_and_novelty():
     found = secrets.novel_spans(CASES[3], [])
     assert [CASES[3][s:e] for s, e, _ in found] == ["q9Zr7LxT2mVb8KpWc4NdYs6HfGjE1uXa"]
     again = CASES[3] + " " + CASES[3]
-    assert secrets.novelty("q9Zr7LxT2mVb8KpWc4NdYs6HfGjE1uXa", CASES[3]) < 0.3 < secrets.novelty("q9Zr7LxT2mVb8KpWc4NdYs6HfGjE1uXa", "auth bearer: ")
+    assert secrets.novelty("q9Zr7LxT2mVb8KpWc4NdYs6HfGjE1uXa", CASES[3]) < 0.5 and secrets.novelty("q9Zr7LxT2mVb8KpWc4NdYs6HfGjE1uXa", "auth bearer: ") > 0.95
     assert secrets.base_spans(again) == []
 
 
+# Strings by rule that the measure was not set on: words that the identifiers lack, and random strings of 16 to 31 characters.
+OTHER_WORDS = "sailing harbour lantern marble tuesday parliament violin thunder almond carpet engineer festival dolphin ceramic autumn grammar railway saddle pepper journal".split()
+ALPHABETS = ("A-Za-z0-9+/", "A-Za-z0-9_-", "0-9a-f", "0-9A-F", "a-z2-7", "A-Z2-7", "a-z0-9")
+SENTENCES = ("We lost the token or rather the {} that was in the box when the house was sold.", "headers['Authorization'] = 'Bearer {}'; send(request)", "secret of the year is {} as they say")
+
+
+def strings_by_rule(n):
+    import random
+
+    rng, out = random.Random(77), []
+    for i in range(n):
+        letters = [c for c in map(chr, range(33, 127)) if re.fullmatch(f"[{ALPHABETS[i % len(ALPHABETS)]}]", c)]
+        out.append((True, "".join(rng.choices(letters, k=rng.randrange(16, 32)))))
+        w = [rng.choice(OTHER_WORDS) for _ in range(3)]
+        name = ("-".join(w), "_".join(w), w[0] + w[1].title() + w[2].title(), "/".join(w), "_".join(w).upper())[i % 5]
+        out.append((False, f"{name}-{rng.choice([2024, 7, 1987, 20240112])}"))
+    return rng, out
+
+
+def test_precision_and_recall_on_labelled_strings():
+    rng, labelled = strings_by_rule(350)
+    hit = {True: 0, False: 0}
+    for secret, word in labelled:
+        text = rng.choice(SENTENCES).format(word)
+        found = secrets.novel_spans(text, [])
+        assert all(text[s:e] == word for s, e, _ in found) or not secret
+        hit[secret] += bool(found)
+    recall, precision = hit[True] / 350, hit[True] / max(1, sum(hit.values()))
+    assert recall >= 0.93 and precision >= 0.93, (recall, precision)
+    for name in ("chapter-twelve-of-2024", "invoice-number-20240112", "sprint-planning-week-42", "2024-01-15T10-30-00"):
+        assert all(not secrets.novel_spans(t.format(name), []) for t in SENTENCES)
+
+
+def test_spans_of_any_length_are_whole():
+    for n in (5_000, 20_000):
+        key = random_text(n, n)
+        text = "the token " + key + " is long"
+        assert [text[s:e] for s, e, _ in secrets.novel_spans(text, [])] == [key]
+
+
 def test_scan_and_redact(spark, odd, empty):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(CASES)], "doc_id long, text string, spans int")
     import hashlib
