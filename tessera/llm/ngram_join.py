@@ -1,20 +1,23 @@
 """N-gram Jaccard join with signature trees (operator 1).
 
-Two documents link when their sets of 5-word shingles have a Jaccard similarity of at least 0.8. Equal sets are one node. Candidate
-groups come from prefix filtering: under one global order of shingles, rarest first, two linked sets share ``SHARED`` among their
-first n - ceil(0.8 n) + ``SHARED``. Each group is a forest of signature trees whose dual traversal finds the pairs worth an exact
-comparison; pairs already connected are not compared again, as only components are asked for.
+Two documents link when their sets of 5-word shingles have a Jaccard similarity of at least 0.8. Equal sets are one node. Prefix
+filtering splits the nodes before the search: under one global order of shingles, rarest first, two linked sets share ``SHARED`` among
+their first n - ceil(0.8 n) + ``SHARED``. Groups that share such a shingle go into blocks, small groups many to a block; each block is a
+signature tree (or two), and the dual traversal finds the pairs worth an exact comparison, whatever groups they come from. Pairs already
+connected are not compared again, as only components are asked for.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +26,16 @@ from tessera.llm.components import components
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the similarity, 0.8
-SKETCH_BITS, FILTER_BITS, SLICES, FOLD = 24, 26, 64, 64
+SKETCH_BITS, SLICES, FOLD = 24, 64, 64
+#: The bit filter has 16 to 32 bits a node between these sizes; a fuller one lets more sets through, which costs a shuffle of them.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 20, 29
 BLOCK, FANOUT = 96, 8
 #: Shingles that two linked sets share within their prefixes at least, and how many nodes may share one to be paired off singly.
 SHARED, FEW = 4, 8
-WORD_BYTES = 6  # bytes kept of each shingle's hash for comparison: 48 bits
+#: A shingle whose bucket has a rank below this is in at most FEW - 1 documents.
+COMMON_RANK = 12
+#: Size bands (5 to a factor of 0.8 each way) and shares of rare shingles by which a large group is cut into classes.
+BAND, SHARES = 1.05, 20
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -105,111 +113,97 @@ def rank_of(counts: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Of every document its set's size and node; of every task its part of a sketch that counts all shingles by hash bucket."""
+    """Of every document its set's size and node, and the set itself where the task has not met it before (``home`` is then the task);
+    of every task its part of a sketch that counts all shingles by hash bucket. Texts are shingled here only."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        empty = pa.array([], pa.int64())
+        counts, met, home = np.zeros(1 << SKETCH_BITS, np.uint32), set(), TaskContext.get().partitionId()
         for b in sliced(batches):
+            ids = b.column(0).to_pylist()
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             if any(map(len, sets)):
                 np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "slice", "data"],
-            )
+            nodes = [node_of(h) if len(h) else None for h in sets]
+            kept = []
+            for d, v, h in zip(ids, nodes, sets, strict=True):
+                new = d is not None and v is not None and v not in met
+                if new:
+                    met.add(v)
+                kept.append(h.tobytes() if new else None)
+            columns = [b.column(0).cast(pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(nodes, pa.int64())]
+            columns += [pa.array([None if k is None else home for k in kept], pa.int32()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
         parts = _slices(counts)
-        none = [None] * len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 3 + [pa.array([p["slice"] for p in parts], pa.int32()), pa.array([p["data"] for p in parts], pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "data"]) if parts else pa.RecordBatch.from_arrays([empty, empty, empty, pa.array([], pa.int32()), pa.array([], pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "data"])
+        none = [pa.nulls(len(parts), f.type) for f in (pa.field(c, k) for c, k in zip(names[:5], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True))]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([p["slice"] for p in parts], pa.int32()), pa.array([p["data"] for p in parts], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, slice int, data binary")
+    names = ["doc_id", "n_shingles", "node", "home", "shingles", "slice", "data"]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, home int, shingles binary, slice int, data binary")
 
 
-def prefixes(docs: DataFrame, rank: np.ndarray, reps: DataFrame) -> DataFrame:
-    """Of each node (once, but for a few copies): its set's size and first shingles in the global order (rarer bucket, then hash)."""
-    shared = docs.sparkSession.sparkContext.broadcast((rank, filter_of(reps)))
+def prefixes(sets: DataFrame, rank: np.ndarray) -> DataFrame:
+    """Of each node: its set's size, how many of its shingles may be common, and its first ones in the global order (rarer bucket, then
+    hash). ``sets``: node, shingles."""
+    shared = sets.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches):
-        r, have = shared.value
+        r = shared.value
         for b in sliced(batches):
-            nodes, sizes, tokens = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = shingles(t)
-                if len(h) and _has(have, np.array([node := node_of(h)]), np.array([d]))[0]:
-                    p = prefix_size(len(h))
-                    order = (r[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-                    first = np.argpartition(order, p - 1)[:p] if p < len(h) else np.arange(len(h))
-                    nodes.append(node)
-                    sizes.append(len(h))
-                    tokens.append(h[first].view(np.int64))
+            sizes, common, tokens = [], [], []
+            for blob in b.column(1).to_pylist():
+                h = unpack(blob)
+                p, rare = prefix_size(len(h)), r[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = (rare.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+                first = np.argpartition(order, p - 1)[:p] if p < len(h) else np.arange(len(h))
+                sizes.append(len(h))
+                common.append(int((rare >= COMMON_RANK).sum()))
+                tokens.append(h[first].view(np.int64))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "n", "c", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, n long, tokens array<long>")
+    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, c long, tokens array<long>")
 
 
-def _filter_slots(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    x = (node.astype(np.uint64) ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_slots(node: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
+    x = (node.astype(np.uint64) ^ (home.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def filter_of(wanted: DataFrame) -> np.ndarray:
-    """A bit array of fixed size over (node, doc_id): what it lacks is not wanted, so its set need not be shuffled."""
+def filter_of(wanted: DataFrame, rows: int) -> np.ndarray:
+    """A bit array over (node, home) of ``rows`` wanted ones: what it lacks is not wanted, so its set need not be shuffled."""
+    bits = max(LEAST_FILTER_BITS, min(MOST_FILTER_BITS, (16 * rows).bit_length()))
 
     def run(batches):
-        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+        got = np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
-            slot = _filter_slots(b.column(0).to_numpy(), b.column(1).to_numpy())
-            np.bitwise_or.at(bits, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
-        parts = _slices(bits)
+            slot = _filter_slots(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)
+            np.bitwise_or.at(got, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
+        parts = _slices(got)
         yield pa.RecordBatch.from_arrays([pa.array([p["slice"] for p in parts], pa.int32()), pa.array([p["data"] for p in parts], pa.binary())], names=["slice", "data"])
 
-    return fold(wanted.select("node", "rep").mapInArrow(run, "slice int, data binary"), "u1", (1 << FILTER_BITS) // 8, np.bitwise_or)
+    return fold(wanted.select("node", "home").mapInArrow(run, "slice int, data binary"), "u1", (1 << bits) // 8, np.bitwise_or)
 
 
-def _has(bits: np.ndarray, node: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    slot = _filter_slots(node, doc)
-    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, rep) and the node's set (48 bits of each hash) for each wanted (node, rep), in place: no shuffle.
-
-    A few others pass the filter too, and repeated rows repeat; whoever joins on (node, rep) drops the former, the latter do no harm.
-    """
-    bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
-
-    def run(batches):
-        have = bits.value
-        for b in sliced(batches):
-            rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = shingles(t)
-                if len(h) and d is not None and _has(have, np.array([node := node_of(h)]), np.array([d]))[0]:
-                    rows.append((node, d, h.view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :].tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["node", "rep", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, rep long, shingles binary")
+def _has(array: np.ndarray, node: np.ndarray, home: np.ndarray) -> np.ndarray:
+    slot = _filter_slots(node, home, len(array).bit_length() + 2)
+    return (array[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of some nodes (node, rep), and a few others, again without a shuffle."""
-    bits = sets.sparkSession.sparkContext.broadcast(filter_of(wanted))
+    """The sets (node, home, shingles) of the wanted (node, home), read where they lie: what no one wants is not shuffled. A few others may
+    pass too; whoever joins on (node, home) drops them."""
+    bits = sets.sparkSession.sparkContext.broadcast(filter_of(wanted, wanted.count()))
 
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(_has(bits.value, b.column(0).to_numpy(), b.column(1).to_numpy())))
 
-    return sets.mapInArrow(run, "node long, rep long, shingles binary")
+    return sets.select("node", "home", "shingles").mapInArrow(run, "node long, home int, shingles binary")
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // WORD_BYTES, 8), np.uint8)
-    out[:, :WORD_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, WORD_BYTES)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(blob, np.uint64)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -275,9 +269,9 @@ def join_group(nodes: list[int], sets: list[np.ndarray], known: list[int], split
             parent[x] = x = parent.get(p, p)
         return x
 
-    if n == 2:
-        return [(nodes[0], nodes[1])] if known[0] != known[1] and linked(sets[0], sets[1]) else []
-    order = sorted(range(split), key=lambda i: (len(sets[i]), nodes[i])), sorted(range(split, n), key=lambda i: (len(sets[i]), nodes[i]))
+    # Leaves of like size stand together, and of those the ones with one least hash, as copies mostly have.
+    by = lambda i: (round(math.log(len(sets[i])) / math.log(BAND)), int(sets[i][0]), nodes[i])
+    order = sorted(range(split), key=by), sorted(range(split, n), key=by)
     bits = 1 << max(8, min(13, int(2 * max(map(len, sets))).bit_length()))
     right = SignatureTree([sets[i] for i in order[1]], bits) if order[1] else None
     left = SignatureTree([sets[i] for i in order[0]], bits) if split else right
@@ -286,7 +280,7 @@ def join_group(nodes: list[int], sets: list[np.ndarray], known: list[int], split
     out, first = [], order[0] if split else order[1]
     for i, j in left.pairs(right).tolist():
         a, b = first[i], order[1][j]
-        if a == b or (not split and i > j):
+        if nodes[a] == nodes[b] or (not split and i > j):
             continue
         ra, rb = find(known[a]), find(known[b])
         if ra != rb and linked(sets[a], sets[b]):
@@ -326,21 +320,66 @@ def join_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*cols).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def bundled(rows: DataFrame, small: Column, key: Column) -> DataFrame:
+    """Give each row its block: ``key`` of its group, or, of a small group, one of so many that about ``BLOCK`` rows share it.
+
+    Groups in one block are compared with each other too, which costs a walk of their tree and loses nothing.
+    """
+    rows = rows.withColumn("small", small)
+    n = rows.where("small").count()
+    return rows.withColumn("block", F.when(F.col("small"), -1 - F.pmod(key, F.lit(max(1, n // BLOCK)))).otherwise(F.abs(key))).drop("small")
+
+
+def class_pairs(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (one, two) of classes of a group that may hold a link of which no rare shingle tells, with the rows of each.
+
+    ``every``: hub, node, n, c, label, main. A class has one size band and one share of rare shingles. Two sets that share no rare shingle
+    share at most the fewer of their common ones, and a link needs 4/9 of both sizes together: classes that can't reach that are not
+    paired, so a passage that many share, each with words of its own, makes no pairs at all.
+    """
+    kind = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)) * (SHARES + 1) + F.floor((F.col("n") - F.col("c")) * SHARES / F.col("n"))
+    classed = every.withColumn("kind", kind.cast("long"))
+    stats = classed.groupBy("hub", "kind").agg(F.count("*").alias("rows"), F.count_if(F.col("label") != F.col("main")).alias("odd"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("c").alias("c"))
+    one = stats.where("odd > 0").select("hub", *(F.col(x).alias(f"{x}1") for x in ("kind", "odd", "low", "high", "c")))
+    two = stats.select("hub", *(F.col(x).alias(f"{x}2") for x in ("kind", "rows", "low", "high", "c")))
+    able = ((NUM + DEN) * F.least("c1", "c2") >= NUM * (F.col("low1") + F.col("low2"))) & (DEN * F.col("high1") >= NUM * F.col("low2")) & (DEN * F.col("high2") >= NUM * F.col("low1"))
+    return classed, one.join(two, "hub").where(able).select("hub", "kind1", "kind2", F.ceil(F.col("odd1") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("rows2") / BLOCK).cast("int").alias("blocks"))
+
+
+def cross_blocks(every: DataFrame) -> DataFrame:
+    """What large groups still have to compare: nodes outside the hub's component (side 0) with all of the group (side 1), by pairs of
+    classes, in blocks. Of any two nodes of a group that are not connected yet, one is outside."""
+    classed, pairs = class_pairs(every)
+    pairs = stage(pairs, "classes")
+    key = F.xxhash64("hub", "kind1", "kind2", "part", "salt")
+    left = classed.where("label <> main").join(pairs, (classed["hub"] == pairs["hub"]) & (F.col("kind") == F.col("kind1"))).drop(pairs["hub"])
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), "parts").cast("int")).withColumn("side", F.lit(0))
+    right = classed.join(pairs, (classed["hub"] == pairs["hub"]) & (F.col("kind") == F.col("kind2"))).drop(pairs["hub"])
+    right = right.withColumn("salt", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
+    both = left.unionByName(right)
+    return both.select("node", "label", "side", ((F.col("parts") == 1) & (F.col("blocks") == 1)).alias("lone"), key.alias("key"))
+
+
 def named_roots(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node and root (a node of its component) of every row of ``docs``, staged; the last two are null without words,
     or without an id.
 
     Rows with equal texts are one node. No table of pairs within a group is made: a group of m nodes is split into blocks, and what it
-    sends on is a forest.
+    sends on is a forest. All staged tables but the result are deleted.
     """
-    spark = docs.sparkSession
-    surveyed = stage(survey(docs), "survey")
+    spark, kept = docs.sparkSession, []
+
+    def hold(df: DataFrame, name: str) -> DataFrame:
+        kept.append(stage(df, name))
+        return kept[-1]
+
+    surveyed = hold(survey(docs), "survey")
     rank = fold(surveyed.where("slice is not null").select("slice", "data"), "<u4", 1 << SKETCH_BITS, np.add, rank_of)
     rows = surveyed.where("slice is null").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-
-    reps = stage(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    first = stage(prefixes(docs.where("doc_id is not null"), rank, reps), "prefixes")
-    postings = first.select("node", "n", F.explode("tokens").alias("token"))
+    sets = surveyed.where("shingles is not null").select("node", "home", "shingles")
+    reps = hold(sets.groupBy("node").agg(F.min("home").alias("home")), "reps")
+    first = stage(prefixes(only(sets, reps), rank), "prefixes")
+    postings = first.select("node", "n", "c", F.explode("tokens").alias("token"))
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("df")).where("hub <> last")
     hubs = stage(hubs.select("token", "hub", "df"), "hubs")
     common = stage(postings.join(hubs, "token").distinct(), "common")
@@ -349,7 +388,9 @@ def named_roots(docs: DataFrame) -> DataFrame:
     release(spark)
     # Shingles of many nodes make groups: a hub, the least node of a shingle, and all nodes that have one of its shingles.
     many = common.where(F.col("df") > FEW)
-    member = stage(many.where("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("shared")), "members")
+    size_of = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("c").alias("c"))
+    whole = hold(size_of(many, "hub", "node"), "members")
+    member = whole.where("node <> hub")
     # Shingles of few nodes make pairs, at most FEW / 2 a posting. A link shares SHARED prefix shingles, those of many nodes included.
     more = many.groupBy("node").agg(F.count("*").alias("many"))
     few = common.where(F.col("df") <= FEW).join(more, "node", "left").select("token", "node", "n", F.coalesce("many", F.lit(0)).alias("many"))
@@ -357,51 +398,53 @@ def named_roots(docs: DataFrame) -> DataFrame:
     right = few.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "many")))
     pair = few.join(right, "token").where("node < node2").groupBy("node", "node2", "n", "n2", "many", "many2").agg(F.count("*").alias("shared"))
     alike = (DEN * F.least("n", "n2") >= NUM * F.greatest("n", "n2")) & (F.col("shared") + F.least("many", "many2") >= F.least(F.lit(SHARED), F.ceil(F.least("n", "n2") * NUM / DEN)))
-    pair = stage(pair.where(alike).select(F.col("node").alias("hub"), F.col("node2").alias("node"), "shared"), "pairs")
+    pair = hold(pair.where(alike).select(F.col("node").alias("hub"), F.col("node2").alias("node"), "shared"), "pairs")
     drop_staged(few)
     drop_staged(common)
-    able = member.unionByName(pair)
-    reps = stage(able.select("node").union(able.select("hub")).distinct().join(reps, "node"), "wanted")
+    able = member.select("hub", "node", "shared").unionByName(pair)
+    reps = hold(able.select("node").union(able.select("hub")).distinct().join(reps, "node"), "wanted")
     release(spark)
-    sets = stage(sets_of(docs, reps), "sets")
+    wanted = hold(only(sets, reps).join(reps, ["node", "home"], "left_semi").select("node", "shingles"), "sets")
 
     # First each node meets the hub with which it shares most, and what that hub's other nodes are in its block.
     nearest = able.groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select("hub", "node")
-    nearest = stage(nearest, "nearest")
-    size = stage(nearest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    at = nearest.join(size, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("salt"))
-    at = at.unionByName(size.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt")))
+    nearest = hold(nearest, "nearest")
+    size = hold(nearest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    at = nearest.join(size, "hub").select("hub", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("salt"))
+    at = at.unionByName(size.select("hub", F.col("hub").alias("node"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt")))
+    at = bundled(at, F.col("blocks") == 1, F.xxhash64("hub", "salt")).select("block", "node").distinct()
     at = at.withColumn("label", F.col("node")).withColumn("side", F.lit(1))
-    links = stage(join_blocks(at.join(reps, "node").join(sets, ["node", "rep"]), ["hub", "salt"]), "links")
+    links = hold(join_blocks(at.join(wanted, "node"), ["block"]), "links")
     root = components(links)
+    kept.append(root)
 
-    # Then pairs that are not connected yet; and in each group, nodes outside the hub's component meet all of the group: of any two of it
-    # that are not connected yet, one is such a node. Groups whose pairs were all compared in one block are done.
+    # Then pairs that are not connected yet; and in each group, nodes outside the hub's component meet what they may link with in it.
+    # Groups whose pairs were all compared in one block are done.
     label = lambda df, node, out: df.join(root.select(F.col("node").alias(node), F.col("root").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
     open_pairs = label(label(pair.join(nearest, ["hub", "node"], "left_anti"), "node", "label"), "hub", "main").where("label <> main")
-    open_pairs = open_pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.count("*").over(Window.partitionBy("hub")) / BLOCK)).cast("int"))
-    open_pairs = stage(open_pairs.select("hub", "main", "node", "label", "salt"), "open")
-    heads = open_pairs.select("hub", F.col("hub").alias("node"), F.col("main").alias("label"), "salt", F.lit(-1).alias("part"), F.lit(0).alias("side")).distinct()
-    cross = heads.unionByName(open_pairs.select("hub", "node", "label", "salt", F.lit(-1).alias("part"), F.lit(1).alias("side")))
-    every = member.select("hub", "node").unionByName(member.select("hub", F.col("hub").alias("node")).distinct())
-    every = stage(every.join(root, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label")), "labels")
-    main = stage(every.where("hub = node").select("hub", F.col("label").alias("main")), "main")
+    open_pairs = hold(open_pairs.select("hub", "main", "node", "label"), "open")
+    open_pairs = open_pairs.join(open_pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "hub").withColumn("salt", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    tail = [(F.col("blocks") == 1).alias("lone"), F.xxhash64("hub", "salt").alias("key")]
+    heads = open_pairs.select(F.col("hub").alias("node"), F.col("main").alias("label"), F.lit(0).alias("side"), *tail).distinct()
+    cross = heads.unionByName(open_pairs.select("node", "label", F.lit(1).alias("side"), *tail))
+    every = hold(whole.join(root, "node", "left").select("hub", "node", "n", "c", F.coalesce("root", "node").alias("label")), "labels")
+    main = hold(every.where("hub = node").select("hub", F.col("label").alias("main")), "main")
     # Nodes that only pair with a hub met it in the same block, but are not of its group.
     done = nearest.join(member.select("hub", "node"), ["hub", "node"], "left_semi").groupBy("hub").agg(F.count("*").alias("compared")).join(size.where("blocks = 1"), "hub").select("hub", "compared")
     groups = every.join(main, "hub").groupBy("hub").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("odd")).where("odd > 0")
-    groups = groups.join(done, "hub", "left").where("compared is null or compared < n - 1")
-    groups = stage(groups.select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("odd") / BLOCK).cast("int").alias("parts")), "open")
-    rest = every.join(groups, "hub").join(main, "hub")
-    left = rest.where("label <> main").select("hub", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.pmod(F.xxhash64("node", F.lit(7)), "parts").cast("int").alias("part"), F.lit(0).alias("side"))
-    right = rest.select("hub", "node", "label", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"))
-    cross = stage(cross.unionByName(left).unionByName(right), "cross")
-    needed = stage(cross.select("node").distinct().join(reps, "node"), "needed")
-    if needed.limit(1).count():
+    groups = hold(groups.join(done, "hub", "left").where("compared is null or compared < n - 1").select("hub"), "groups")
+    cross = hold(cross.unionByName(cross_blocks(hold(every.join(groups, "hub").join(main, "hub"), "rest"))), "cross")
+    if cross.limit(1).count():
+        cross = bundled(cross, F.col("lone"), F.col("key")).select("block", "side", "node", "label").distinct()
+        needed = cross.select("node").distinct()
         release(spark)
-        more = join_blocks(cross.join(needed, "node").join(only(sets, needed), ["node", "rep"]), ["hub", "salt", "part"])
-        root = components(stage(links.union(more), "links"))
-    drop_staged(sets)
-    return stage(rows.join(root, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root")), "named")
+        more = join_blocks(cross.join(wanted.join(needed, "node", "left_semi"), "node"), ["block"])
+        root = components(hold(links.union(more), "links"))
+        kept.append(root)
+    out = stage(rows.join(root, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root")), "named")
+    for df in kept:
+        drop_staged(df)
+    return out
 
 
 def join_classes(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join
 from tessera.llm.components import components
@@ -46,6 +47,33 @@ def test_a_passage_that_many_share_links_nothing(spark):
     assert result(df) == classes(docs)
 
 
+def test_a_large_group_of_which_none_can_link_makes_no_blocks(spark):
+    # A passage of 80 shingles that 100,000 share, each with words of its own: no two reach 0.8, and none is paired.
+    every = spark.range(1, 100_001).selectExpr("0L as hub", "id as node", "100L + id % 5 as n", "80L as c", "id as label", "0L as main")
+    assert ngram_join.cross_blocks(every).count() == 0
+    # Where a pair may link, no pair of classes that may is missing.
+    rng = random.Random(8)
+    rows = [(0, i, n, n - rng.randrange(n // 4), i, 0) for i in range(1, 300) for n in [rng.randrange(20, 200)]]
+    classed, pairs = ngram_join.class_pairs(spark.createDataFrame(rows, "hub long, node long, n long, c long, label long, main long"))
+    kind = {r["node"]: (r["kind"], r["n"], r["c"]) for r in classed.collect()}
+    have = {(r["kind1"], r["kind2"]) for r in pairs.collect()}
+    want = {(a[0], b[0]) for a in kind.values() for b in kind.values() if 9 * min(a[2], b[2]) >= 4 * (a[1] + b[1]) and 5 * min(a[1], b[1]) >= 4 * max(a[1], b[1])}
+    assert want <= have and len(have) < len({k for k, _, _ in kind.values()}) ** 2 / 2
+
+
+def test_own_words_beside_a_passage(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(80)]
+    docs = [(i, " ".join(passage + [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([0, 3, 9, 12, 16, 20]))])) for i in range(150)]
+    assert result(spark.createDataFrame(docs, "doc_id long, text string")) == classes(docs)
+
+
+def test_small_groups_share_blocks(spark):
+    rows = spark.range(1200).selectExpr("id div 2 as hub", "id as node")
+    sizes = [r["count"] for r in ngram_join.bundled(rows, F.lit(True), F.xxhash64("hub")).groupBy("block").count().collect()]
+    assert sum(sizes) == 1200 and min(sizes) > ngram_join.FANOUT and max(sizes) < 3 * ngram_join.BLOCK
+
+
 def words(name, n):
     return [f"{name}q{i}" for i in range(n)]
 
