@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,65 +112,61 @@ def rank_of(counts: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Of every document its set's size and node, and the set itself where the task has not met it before (``home`` is then the task);
-    of every task its part of a sketch that counts all shingles by hash bucket. Texts are shingled here only."""
+    """Of every document its set's size and node; of every task its part of a sketch that counts all shingles by hash bucket."""
 
     def run(batches):
-        counts, met, home = np.zeros(1 << SKETCH_BITS, np.uint32), set(), TaskContext.get().partitionId()
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        empty = pa.array([], pa.int64())
         for b in sliced(batches):
-            ids = b.column(0).to_pylist()
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             if any(map(len, sets)):
                 np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-            nodes = [node_of(h) if len(h) else None for h in sets]
-            kept = []
-            for d, v, h in zip(ids, nodes, sets, strict=True):
-                new = d is not None and v is not None and v not in met
-                if new:
-                    met.add(v)
-                kept.append(h.tobytes() if new else None)
-            columns = [b.column(0).cast(pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(nodes, pa.int64())]
-            columns += [pa.array([None if k is None else home for k in kept], pa.int32()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+            n = len(sets)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "slice", "data"],
+            )
         parts = _slices(counts)
-        none = [pa.nulls(len(parts), f.type) for f in (pa.field(c, k) for c, k in zip(names[:5], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True))]
-        yield pa.RecordBatch.from_arrays([*none, pa.array([p["slice"] for p in parts], pa.int32()), pa.array([p["data"] for p in parts], pa.binary())], names=names)
+        none = [None] * len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 3 + [pa.array([p["slice"] for p in parts], pa.int32()), pa.array([p["data"] for p in parts], pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "data"]) if parts else pa.RecordBatch.from_arrays([empty, empty, empty, pa.array([], pa.int32()), pa.array([], pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "data"])
 
-    names = ["doc_id", "n_shingles", "node", "home", "shingles", "slice", "data"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, home int, shingles binary, slice int, data binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, slice int, data binary")
 
 
-def prefixes(sets: DataFrame, rank: np.ndarray) -> DataFrame:
-    """Of each node: its set's size, how many of its shingles may be common, and its first ones in the global order (rarer bucket, then
-    hash). ``sets``: node, shingles."""
-    shared = sets.sparkSession.sparkContext.broadcast(rank)
+def prefixes(docs: DataFrame, rank: np.ndarray, reps: DataFrame) -> DataFrame:
+    """Of each node (once, but for a few copies): its set's size, how many of its shingles may be common, and its first ones in the global
+    order (rarer bucket, then hash)."""
+    shared = docs.sparkSession.sparkContext.broadcast((rank, filter_of(reps, reps.count())))
 
     def run(batches):
-        r = shared.value
+        r, have = shared.value
         for b in sliced(batches):
-            sizes, common, tokens = [], [], []
-            for blob in b.column(1).to_pylist():
-                h = unpack(blob)
-                p, rare = prefix_size(len(h)), r[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = (rare.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-                first = np.argpartition(order, p - 1)[:p] if p < len(h) else np.arange(len(h))
-                sizes.append(len(h))
-                common.append(int((rare >= COMMON_RANK).sum()))
-                tokens.append(h[first].view(np.int64))
+            nodes, sizes, common, tokens = [], [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = shingles(t)
+                if len(h) and _has(have, np.array([node := node_of(h)]), np.array([d]))[0]:
+                    p = prefix_size(len(h))
+                    rare = r[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    order = (rare.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+                    first = np.argpartition(order, p - 1)[:p] if p < len(h) else np.arange(len(h))
+                    nodes.append(node)
+                    sizes.append(len(h))
+                    common.append(int((rare >= COMMON_RANK).sum()))
+                    tokens.append(h[first].view(np.int64))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "n", "c", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "n", "c", "tokens"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, c long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, n long, c long, tokens array<long>")
 
 
-def _filter_slots(node: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
-    x = (node.astype(np.uint64) ^ (home.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
+def _filter_slots(node: np.ndarray, doc: np.ndarray, bits: int) -> np.ndarray:
+    x = (node.astype(np.uint64) ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
     return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def filter_of(wanted: DataFrame, rows: int) -> np.ndarray:
-    """A bit array over (node, home) of ``rows`` wanted ones: what it lacks is not wanted, so its set need not be shuffled."""
+    """A bit array over (node, rep) of ``rows`` wanted ones: what it lacks is not wanted, so its set need not be shuffled."""
     bits = max(LEAST_FILTER_BITS, min(MOST_FILTER_BITS, (16 * rows).bit_length()))
 
     def run(batches):
@@ -182,24 +177,33 @@ def filter_of(wanted: DataFrame, rows: int) -> np.ndarray:
         parts = _slices(got)
         yield pa.RecordBatch.from_arrays([pa.array([p["slice"] for p in parts], pa.int32()), pa.array([p["data"] for p in parts], pa.binary())], names=["slice", "data"])
 
-    return fold(wanted.select("node", "home").mapInArrow(run, "slice int, data binary"), "u1", (1 << bits) // 8, np.bitwise_or)
+    return fold(wanted.select("node", "rep").mapInArrow(run, "slice int, data binary"), "u1", (1 << bits) // 8, np.bitwise_or)
 
 
-def _has(array: np.ndarray, node: np.ndarray, home: np.ndarray) -> np.ndarray:
-    slot = _filter_slots(node, home, len(array).bit_length() + 2)
+def _has(array: np.ndarray, node: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    slot = _filter_slots(node, doc, len(array).bit_length() + 2)
     return (array[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets (node, home, shingles) of the wanted (node, home), read where they lie: what no one wants is not shuffled. A few others may
-    pass too; whoever joins on (node, home) drops them."""
-    bits = sets.sparkSession.sparkContext.broadcast(filter_of(wanted, wanted.count()))
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, rep) and the node's set for each wanted (node, rep), in place: no shuffle.
+
+    A few others pass the filter too, and repeated rows repeat; whoever joins on (node, rep) drops the former, the latter do no harm.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, wanted.count()))
 
     def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(_has(bits.value, b.column(0).to_numpy(), b.column(1).to_numpy())))
+        have = bits.value
+        for b in sliced(batches):
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = shingles(t)
+                if len(h) and d is not None and _has(have, np.array([node := node_of(h)]), np.array([d]))[0]:
+                    rows.append((node, d, h.tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["node", "rep", "shingles"])
 
-    return sets.select("node", "home", "shingles").mapInArrow(run, "node long, home int, shingles binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, rep long, shingles binary")
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -376,9 +380,8 @@ def named_roots(docs: DataFrame) -> DataFrame:
     surveyed = hold(survey(docs), "survey")
     rank = fold(surveyed.where("slice is not null").select("slice", "data"), "<u4", 1 << SKETCH_BITS, np.add, rank_of)
     rows = surveyed.where("slice is null").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    sets = surveyed.where("shingles is not null").select("node", "home", "shingles")
-    reps = hold(sets.groupBy("node").agg(F.min("home").alias("home")), "reps")
-    first = stage(prefixes(only(sets, reps), rank), "prefixes")
+    reps = hold(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
+    first = stage(prefixes(docs.where("doc_id is not null"), rank, reps), "prefixes")
     postings = first.select("node", "n", "c", F.explode("tokens").alias("token"))
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("df")).where("hub <> last")
     hubs = stage(hubs.select("token", "hub", "df"), "hubs")
@@ -404,7 +407,8 @@ def named_roots(docs: DataFrame) -> DataFrame:
     able = member.select("hub", "node", "shared").unionByName(pair)
     reps = hold(able.select("node").union(able.select("hub")).distinct().join(reps, "node"), "wanted")
     release(spark)
-    wanted = hold(only(sets, reps).join(reps, ["node", "home"], "left_semi").select("node", "shingles"), "sets")
+    # Shingled again where they lie: to keep all sets from the first pass would take more disk than the input.
+    wanted = hold(sets_of(docs, reps), "sets").select("node", "shingles")
 
     # First each node meets the hub with which it shares most, and what that hub's other nodes are in its block.
     nearest = able.groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select("hub", "node")
