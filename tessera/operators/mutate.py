@@ -1,21 +1,37 @@
 """Versioned copy-on-write insert, update, append and delete by logical position.
 
-A store is a folder: ``data/v=N/bucket=B`` holds the window rows that version N wrote, ``manifest/v=N`` says which version holds each
-bucket, ``index/v=N`` has the counts and positions of all windows, and ``CURRENT`` names the version in force. A commit writes
-the touched buckets, then the index and manifest, and last renames a new ``CURRENT`` into place: readers see the old or
-the new version, never a mixture, and old versions stay readable.
+A store is a folder of two tables. ``data`` has the window rows, by commit and bucket of 4096 windows; a row's positions are those within its
+bucket, so a change in one bucket leaves all others as they are. ``buckets/v=N`` has a row per bucket in version N: which commit holds
+it, how many records it has and where it starts; it's one row to half a million records, and all that a commit writes besides the touched
+buckets. A version is in force once Spark has marked its ``buckets`` table as whole: readers see the old or the new version, never a
+mixture, and old versions stay readable. One writer at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.offsets import running_total
 from tessera.operators.windows import MAX_BITS, MAX_RECORDS, WINDOW, build, decode, encode
 
 BUCKET_SHIFT = 12
+#: Cells of positions by which edits meet buckets, and of positions in a bucket by which they meet windows: a bucket or window of usual size
+#: lies in one or two.
+BUCKET_CELL, WINDOW_CELL = 19, 7
 EDITS = "series_id string, op string, pos long, seq long, value double"
+TOO_BIG = f"a window would go beyond {MAX_RECORDS} records or {MAX_BITS} bits"
+
+
+def _bucket(window_id: Column | str) -> Column:
+    return F.shiftright(window_id, BUCKET_SHIFT)
+
+
+def _cells(first: str, end: str, shift: int) -> Column:
+    return F.explode(F.sequence(F.shiftright(first, shift), F.shiftright(F.col(end) - 1, shift)))
 
 
 class WindowStore:
@@ -24,78 +40,81 @@ class WindowStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
-
     def version(self) -> int:
-        """The version in force; 0 where nothing is stored yet."""
-        fs, path = self._fs()
-        p = path(f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return 0
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()["value"])
-
-    def _switch(self, version: int) -> None:
-        fs, path = self._fs()
-        new = path(f"{self.path}/.CURRENT-{version}")
-        out = fs.create(new, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        fs.delete(path(f"{self.path}/CURRENT"), False)
-        if not fs.rename(new, path(f"{self.path}/CURRENT")):
-            raise OSError(f"version {version} could not be put in force")
-
-    def manifest(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/manifest/v={version or self.version()}")
-
-    def index(self, version: int | None = None) -> DataFrame:
-        """series_id, window_id, bucket, cnt, bit_len, start_pos, end_pos: 1/128 of the records, no payload."""
-        return self.spark.read.parquet(f"{self.path}/index/v={version or self.version()}")
-
-    def windows(self, version: int | None = None, buckets: tuple[int, int] | None = None) -> DataFrame:
-        """Window rows with their positions; only buckets in the closed range ``buckets`` are read (folders are pruned)."""
-        version = version or self.version()
-        held, idx, data = self.manifest(version), self.index(version), self.spark.read.parquet(f"{self.path}/data")
-        if buckets:
-            held, idx, data = (df.where(F.col("bucket").between(*buckets)) for df in (held, idx, data))
-        data = data.withColumn("bucket", F.col("bucket").cast("long")).join(held.withColumnRenamed("held", "v"), ["v", "bucket"]).drop("v", "bucket")
-        return data.join(idx.select("series_id", "window_id", "start_pos", "end_pos"), ["series_id", "window_id"])
+        """The version in force, the last whole one; 0 where nothing is stored yet."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        done = jvm.org.apache.hadoop.fs.Path(f"{self.path}/buckets/v=*/_SUCCESS")
+        return max((int(f.getPath().getParent().getName()[2:]) for f in done.getFileSystem(conf).globStatus(done) or []), default=0)
+
+    def buckets(self, version: int | None = None) -> DataFrame:
+        """series_id, bucket, held (the commit), cnt, windows, full (last window with records), start_pos, end_pos."""
+        return self.spark.read.parquet(f"{self.path}/buckets/v={version or self.version()}")
+
+    def total_records(self, series_id: str, version: int | None = None) -> int:
+        """Records of a series, from the buckets alone."""
+        return self.buckets(version).where(F.col("series_id") == series_id).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()["n"]
+
+    def _data(self, held: DataFrame, where: Column | None = None) -> DataFrame:
+        """The window rows of some buckets with their positions in the series. ``where`` reaches the scan: folders by ``bucket``, row groups
+        by ``rel_start`` and ``rel_end``."""
+        data = self.spark.read.parquet(f"{self.path}/data").withColumn("bucket", F.col("bucket").cast("long"))
+        data = data.where(where) if where is not None else data
+        held = held.select("series_id", "bucket", F.col("held").alias("commit"), F.col("start_pos").alias("_first"))
+        rows = data.join(held, ["series_id", "bucket", "commit"]).withColumn("start_pos", F.col("rel_start") + F.col("_first"))
+        return rows.withColumn("end_pos", F.col("rel_end") + F.col("_first")).drop("_first", "commit")
+
+    def windows(self, version: int | None = None) -> DataFrame:
+        """All window rows of a version."""
+        return self._data(self.buckets(version))
 
     def range_windows(self, series_id: str, start: int, length: int, version: int | None = None) -> DataFrame:
-        """Windows that meet a range: the small index names their buckets, other buckets are not opened."""
-        hit = self.index(version).where((F.col("series_id") == series_id) & (F.col("start_pos") < start + length) & (F.col("end_pos") > start))
-        low, high = hit.agg(F.min("bucket"), F.max("bucket")).first()
-        return self.windows(version, (low, high)) if low is not None else self.windows(version, (-1, -1))
-
-    def _commit(self, rows: DataFrame, touched: DataFrame | None) -> int:
-        """Write ``rows`` (all windows of the touched buckets) as the next version and put it in force."""
-        old = self.version()
-        new = old + 1
-        # Widths are checked before anything is written: a failure leaves the version in force.
-        too_big = (F.col("cnt") > MAX_RECORDS) | (F.col("bit_len") > MAX_BITS)
-        if rows.where(too_big).limit(1).count():
-            raise ValueError(f"a window would go beyond {MAX_RECORDS} records or {MAX_BITS} bits")
-        stamped = rows.withColumn("version", F.lit(new).cast("long"))
-        stamped.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.path}/data/v={new}")
-        written = self.spark.read.parquet(f"{self.path}/data/v={new}").select("series_id", "window_id", F.col("bucket").cast("long").alias("bucket"), "cnt", "bit_len")
-        index, held = written, written.select("bucket").distinct().withColumn("held", F.lit(new).cast("long"))
-        if old and touched is not None:
-            index = self.index(old).select(*written.columns).join(touched, "bucket", "left_anti").unionByName(written)
-            held = self.manifest(old).join(touched, "bucket", "left_anti").unionByName(held)
-        index = running_total(index, ["series_id"], "window_id", "cnt", "start_pos").withColumn("end_pos", F.col("start_pos") + F.col("cnt"))
-        index.write.parquet(f"{self.path}/index/v={new}")
-        held.write.parquet(f"{self.path}/manifest/v={new}")
-        self._switch(new)
-        return new
+        """Windows that meet a range. The buckets say which folders and, in the first and last of them, which positions the scan needs."""
+        hit = self.buckets(version).where((F.col("series_id") == series_id) & (F.col("start_pos") < start + length) & (F.col("end_pos") > start))
+        at = hit.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.min("start_pos").alias("first"), F.max("start_pos").alias("last")).first()
+        if at["low"] is None:
+            return self._data(hit, F.lit(False))
+        bucket = F.col("bucket").between(at["low"], at["high"])
+        head = (F.col("bucket") > at["low"]) | (F.col("rel_end") > start - at["first"])
+        tail = (F.col("bucket") < at["high"]) | (F.col("rel_start") < start + length - at["last"])
+        if at["low"] == at["high"]:
+            head, tail = F.col("rel_end") > start - at["first"], F.col("rel_start") < start + length - at["last"]
+        return self._data(hit, (F.col("series_id") == series_id) & bucket & head & tail)
+
+    def validate(self, version: int | None = None) -> None:
+        """Every window's counts and widths, and every bucket's totals, or an error."""
+        rows = self.windows(version)
+        wrong = (F.col("cnt") < 0) | (F.col("cnt") > MAX_RECORDS) | (F.col("bit_len") > MAX_BITS) | (F.col("n_raw") + F.col("n_zero") + F.col("n_esc") != F.col("cnt")) | (F.col("end_pos") - F.col("start_pos") != F.col("cnt"))
+        sums = rows.groupBy("series_id", "bucket").agg(F.sum("cnt").alias("n"), F.count("*").alias("k"), F.count_if(wrong).alias("bad"))
+        held = self.buckets(version).join(sums, ["series_id", "bucket"], "full")
+        bad = held.where("n is null or cnt is null or n <> cnt or k <> windows or bad > 0 or end_pos - start_pos <> cnt").select("series_id", "bucket").first()
+        if bad:
+            raise ValueError(f"a bucket's windows don't fit its totals: {bad}")
+
+    def _commit(self, rows: DataFrame, touched: DataFrame | None, old: int) -> int:
+        """Write ``rows`` (all windows of the touched buckets), then the next version's buckets, which puts it in force."""
+        commit = uuid.uuid4().hex
+        # Widths are checked as rows are written: a failure leaves the version in force.
+        fits = F.when((F.col("cnt") > MAX_RECORDS) | (F.col("bit_len") > MAX_BITS), F.raise_error(F.lit(TOO_BIG)).cast("int")).otherwise(F.col("cnt"))
+        before = Window.partitionBy("series_id", "bucket").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("cnt", fits).repartition("series_id", "bucket").withColumn("rel_end", F.sum("cnt").over(before)).withColumn("rel_start", F.col("rel_end") - F.col("cnt"))
+        try:
+            rows.sortWithinPartitions("bucket", "series_id", "window_id").write.partitionBy("bucket").parquet(f"{self.path}/data/commit={commit}")
+        except PySparkException as e:
+            raise ValueError(TOO_BIG) if TOO_BIG in str(e) else e from None
+        written = self.spark.read.parquet(f"{self.path}/data/commit={commit}").withColumn("bucket", F.col("bucket").cast("long"))
+        held = written.groupBy("series_id", "bucket").agg(F.sum("cnt").alias("cnt"), F.count("*").alias("windows"), F.max(F.when(F.col("cnt") > 0, F.col("window_id"))).alias("full"), F.min("window_id").alias("least"))
+        held = held.withColumn("held", F.lit(commit))
+        if touched is not None:
+            held = self.buckets(old).select(*held.columns).join(touched, ["series_id", "bucket"], "left_anti").unionByName(held)
+        held = running_total(held, ["series_id"], "bucket", "cnt", "start_pos").withColumn("end_pos", F.col("start_pos") + F.col("cnt"))
+        held.sort("series_id", "bucket").write.parquet(f"{self.path}/buckets/v={old + 1}")
+        return old + 1
 
     def create(self, series: DataFrame, window: int = WINDOW) -> int:
         """Store (series_id, pos, value) as version 1."""
         if self.version():
             raise ValueError(f"{self.path} holds a store already")
-        rows = build(series, window).drop("start_pos", "end_pos").withColumn("bucket", F.shiftright("window_id", BUCKET_SHIFT))
-        return self._commit(rows, None)
+        return self._commit(build(series, window).drop("start_pos", "end_pos").withColumn("bucket", _bucket("window_id")), None, 0)
 
     def apply(self, edits: DataFrame) -> int:
         """Apply edits (``EDITS``) and return the new version. Positions are those before the commit.
@@ -106,27 +125,33 @@ class WindowStore:
         Out-of-range positions raise an error before anything is written; without edits no version is made.
         """
         version = self.version()
-        idx = self.index(version)
-        size = idx.groupBy("series_id").agg(F.sum("cnt").alias("n"))
+        held = self.buckets(version)
+        size = held.groupBy("series_id").agg(F.sum("cnt").alias("n"), F.max("full").alias("full"), F.min("least").alias("least"))
+        edits = edits.join(size, "series_id", "left").cache()
+        try:
+            limit = F.col("n") + F.when(F.col("op") == "insert", 1).otherwise(0)
+            bad = F.col("n").isNull() | (F.col("pos") < 0) | (F.col("pos") >= limit) | ~F.col("op").isin("update", "insert", "delete")
+            seen = edits.agg(F.count("*").alias("n"), F.min(F.when(bad, F.struct("series_id", "op", "pos"))).alias("bad")).first()
+            if seen["bad"]:
+                raise ValueError(f"no such record: {seen['bad']}")
+            return self._apply(edits, held, version) if seen["n"] else version
+        finally:
+            edits.unpersist()
+
+    def _apply(self, edits: DataFrame, held: DataFrame, version: int) -> int:
+        cols = ["series_id", "bucket", "op", "pos", "seq", "value"]
+        spread = held.where("cnt > 0").select("series_id", "bucket", "start_pos", "end_pos", _cells("start_pos", "end_pos", BUCKET_CELL).alias("cell"))
+        near = edits.where("pos < n").withColumn("cell", F.shiftright("pos", BUCKET_CELL)).join(spread, ["series_id", "cell"])
+        near = near.where((F.col("pos") >= F.col("start_pos")) & (F.col("pos") < F.col("end_pos"))).select(*cols)
         # Appends go to the last window that has records, or to the first window.
-        last = idx.groupBy("series_id").agg(F.max(F.when(F.col("cnt") > 0, F.col("window_id"))).alias("full"), F.min("window_id").alias("least"))
-        edits = edits.join(size, "series_id", "left").join(last, "series_id", "left")
-        limit = F.col("n") + F.when(F.col("op") == "insert", 1).otherwise(0)
-        bad = F.col("n").isNull() | (F.col("pos") < 0) | (F.col("pos") >= limit) | ~F.col("op").isin("update", "insert", "delete")
-        wrong = edits.where(bad).select("series_id", "op", "pos").first()
-        if wrong:
-            raise ValueError(f"no such record: {wrong}")
-        at_end = edits.where("pos = n").withColumn("window_id", F.coalesce("full", "least"))
-        keyed = edits.where("pos < n").alias("e").join(idx.alias("i"), (F.col("e.series_id") == F.col("i.series_id")) & (F.col("e.pos") >= F.col("i.start_pos")) & (F.col("e.pos") < F.col("i.end_pos")))
-        cols = ["series_id", "window_id", "op", "pos", "seq", "value"]
-        keyed = keyed.select("e.series_id", "i.window_id", "op", "pos", "seq", "value").unionByName(at_end.select(*cols))
-        keyed = keyed.withColumn("bucket", F.shiftright("window_id", BUCKET_SHIFT)).cache()
+        last = edits.where("pos = n").withColumn("window_id", F.coalesce("full", "least")).withColumn("bucket", _bucket("window_id")).select(*cols, "window_id")
+        touched = near.select("series_id", "bucket").union(last.select("series_id", "bucket")).distinct()
+        low, high = touched.agg(F.min("bucket"), F.max("bucket")).first()
+        rows = self._data(held.join(touched, ["series_id", "bucket"], "left_semi"), F.col("bucket").between(low, high))
+        places = rows.where("cnt > 0").select("series_id", "bucket", "window_id", "start_pos", "end_pos", _cells("start_pos", "end_pos", WINDOW_CELL).alias("cell"))
+        keyed = near.withColumn("cell", F.shiftright("pos", WINDOW_CELL)).join(places, ["series_id", "bucket", "cell"])
+        keyed = keyed.where((F.col("pos") >= F.col("start_pos")) & (F.col("pos") < F.col("end_pos"))).select(*cols, "window_id").unionByName(last).cache()
         try:
-            touched = keyed.select("bucket").distinct()
-            low, high = touched.agg(F.min("bucket"), F.max("bucket")).first()
-            if low is None:
-                return version
-            rows = self.windows(version, (low, high)).withColumn("bucket", F.shiftright("window_id", BUCKET_SHIFT)).join(touched, "bucket", "left_semi")
             hit = keyed.select("series_id", "window_id").distinct()
             keep = rows.join(hit, ["series_id", "window_id"], "left_anti")
             old = decode(rows.join(hit, ["series_id", "window_id"], "left_semi"))
@@ -139,8 +164,8 @@ class WindowStore:
             in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "side", "seq", "value"))), lambda r: r["value"])
             full = now.unionByName(ins).groupBy("series_id", "window_id").agg(in_order.alias("values"))
             groups = hit.join(full, ["series_id", "window_id"], "left").withColumn("values", F.coalesce("values", F.array().cast("array<double>")))
-            changed = encode(groups).withColumn("bucket", F.shiftright("window_id", BUCKET_SHIFT))
-            return self._commit(keep.select(*changed.columns).unionByName(changed), touched)
+            changed = encode(groups).withColumn("bucket", _bucket("window_id"))
+            return self._commit(keep.select(*changed.columns).unionByName(changed), touched, version)
         finally:
             keyed.unpersist()
 

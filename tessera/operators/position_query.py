@@ -7,6 +7,8 @@ windows that meet it are decoded.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Context, Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from tessera.operators.windows import decode, decode_window
 
 GROUP = 12
+#: Digits enough for the exact sum of any doubles.
+EXACT = Context(prec=2_400)
 
 
 def total_records(windows: DataFrame, series_id: str) -> int:
@@ -48,8 +52,9 @@ def touching(windows: DataFrame, series_id: str, start: int, length: int) -> Dat
     return windows.where((F.col("series_id") == series_id) & (F.col("start_pos") < start + length) & (F.col("end_pos") > start) & (F.col("cnt") > 0))
 
 
-def check_bounds(windows: DataFrame, series_id: str, start: int, length: int, least: int = 0) -> None:
-    n = total_records(windows, series_id)
+def check_bounds(windows: DataFrame, series_id: str, start: int, length: int, least: int = 0, n: int | None = None) -> None:
+    """``n``: the series' records where they are known, else counted in ``windows``."""
+    n = total_records(windows, series_id) if n is None else n
     if length < least or start < 0 or start > n - length:
         raise ValueError(f"positions {start} to {start + length} are not within 0 to {n}")
 
@@ -68,13 +73,42 @@ def point(windows: DataFrame, series_id: str, pos: int) -> float:
     return points(windows, series_id, [pos]).first()["value"]
 
 
-def range_values(windows: DataFrame, series_id: str, start: int, length: int) -> DataFrame:
+def range_values(windows: DataFrame, series_id: str, start: int, length: int, n: int | None = None) -> DataFrame:
     """(pos, value) of a range, in no order; bounds are checked against the counts first."""
-    check_bounds(windows, series_id, start, length)
+    check_bounds(windows, series_id, start, length, n=n)
     rows = decode(touching(windows, series_id, start, length))
     return rows.where((F.col("pos") >= start) & (F.col("pos") < start + length)).select("pos", "value")
 
 
+def range_decimals(windows: DataFrame, series_id: str, start: int, length: int, n: int | None = None) -> DataFrame:
+    """(pos, value) of a range as decimal text: the shortest decimal that gives the double back, without an exponent."""
+
+    @F.arrow_udf("string")
+    def plain(a: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else format(Decimal(repr(x)), "f") for x in a.to_pylist()], pa.string())
+
+    return range_values(windows, series_id, start, length, n).select("pos", plain(F.col("value")).alias("value"))
+
+
+def exact_sum(decimals: DataFrame) -> DataFrame:
+    """One row: n and the exact sum of decimal texts, as text. Whole numbers on the finest scale of each batch, then of all batches."""
+
+    def run(batches):
+        total, n = Decimal(0), 0
+        for b in batches:
+            values = [Decimal(v) for v in b.column(0).to_pylist() if v is not None]
+            total, n = EXACT.add(total, reduce(EXACT.add, values, Decimal(0))), n + len(values)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([str(total)], pa.string())], names=["n", "sum"])
+
+    parts = decimals.select("value").mapInArrow(run, "n long, sum string").agg(F.sum("n").alias("n"), F.collect_list("sum").alias("sums"))  # one a partition
+
+    @F.arrow_udf("string")
+    def whole(a: pa.Array) -> pa.Array:
+        return pa.array([format(reduce(EXACT.add, map(Decimal, x), Decimal(0)), "f") for x in a.to_pylist()], pa.string())
+
+    return parts.select(F.coalesce("n", F.lit(0)).alias("n"), whole(F.col("sums")).alias("sum"))
+
+
 def scan(windows: DataFrame, series_id: str, start: int, length: int, consumer: Callable[[float], None]) -> None:
     """Feed a range to ``consumer`` in order, a partition at a time."""
     rows: Iterator[Row] = range_values(windows, series_id, start, length).orderBy("pos").toLocalIterator(prefetchPartitions=True)
@@ -115,13 +149,13 @@ def ordered_sum(partials: DataFrame, keys: list[str]) -> DataFrame:
     return groups.groupBy(*keys).agg(in_order("grp").alias("s"), *merged)
 
 
-def range_aggregate(windows: DataFrame, series_id: str, start: int, length: int, use_stats: bool = False) -> DataFrame:
+def range_aggregate(windows: DataFrame, series_id: str, start: int, length: int, use_stats: bool = False, n: int | None = None) -> DataFrame:
     """One row: n, sum, avg, min and max of a range of at least one record.
 
     With ``use_stats``, windows wholly inside the range give their stored sum, minimum and maximum (the same
     left-to-right sum), and only the windows at its ends are decoded.
     """
-    check_bounds(windows, series_id, start, length, 1)
+    check_bounds(windows, series_id, start, length, 1, n)
     hit = touching(windows, series_id, start, length)
     if use_stats:
         inside = (F.col("start_pos") >= start) & (F.col("end_pos") <= start + length)

@@ -7,13 +7,16 @@ are few whatever the length of the series.
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.numeric import LOG2_10, ceil_log2, decimal_difference, decimal_places, exponent, exponent_cost, places_cost
+from tessera.functions.numeric import LOG2_10, ceil_log2, exponent_cost, places_cost
+from tessera.sources.scratch import shared_folder
 
 #: Digits enough for the exact difference of any two doubles.
 EXACT = Context(prec=2_200, rounding=ROUND_HALF_UP)
@@ -24,34 +27,72 @@ TOP_K = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 BOOK_BITS, ENTRY_BITS = 21, 17
 
 
-def symbols(series: DataFrame, block: int = 30_000) -> DataFrame:
-    """Symbols against the value before (``SYMBOLS``), in Column expressions.
+@dataclass(frozen=True)
+class State:
+    """What the search for the cheapest reference carries on: the last values that were not repeats, the difference that led to each,
+    and which is the oldest."""
+
+    values: tuple[Decimal, ...]
+    deltas: tuple[Decimal, ...]
+    at: int = 0
+
+    def text(self) -> str:
+        return ";".join([*map(str, self.values), *map(str, self.deltas), str(self.at)])
+
+    @staticmethod
+    def of(text: str) -> State:
+        *parts, at = text.split(";")
+        n = len(parts) // 2
+        return State(tuple(map(Decimal, parts[:n])), tuple(map(Decimal, parts[n:])), int(at))
+
+
+def start(references: int = 4) -> State:
+    return State((Decimal("0.1"),) * references, (Decimal("0.1"),) * references)
 
-    delta = value - value before, at their decimal places; a key compares places and exponent of the delta with those of the delta
-    before it. The first two values of a block have no such deltas and take 0.1 for what is missing, so blocks are independent.
-    Values that are not finite are left out.
-    """
-    rows = series.where(~F.isnan("value") & (F.abs("value") < float("inf"))).withColumn("block_id", F.floor(F.col("pos") / block).cast("long"))
-    w = Window.partitionBy("series_id", "block_id").orderBy("pos")
-    rows = rows.withColumn("places", decimal_places(F.col("value")))
-    before, before_places = F.coalesce(F.lag("value").over(w), F.lit(0.1)), F.coalesce(F.lag("places").over(w), F.lit(1))
-    rows = rows.withColumn("delta", decimal_difference(F.col("value"), before, F.greatest("places", before_places)))
-    rows = rows.withColumn("u", decimal_places(F.col("delta"))).withColumn("e", exponent(F.col("delta")))
-    u0, e0 = F.coalesce(F.lag("u").over(w), F.lit(1)), F.coalesce(F.lag("e").over(w), F.lit(-4))
-    zero = F.col("delta") == 0
-    return rows.select(
-        "series_id", "block_id", "pos", zero.alias("is_zero"), F.when(~zero, (F.col("delta") < 0).cast("int")).alias("sign"),
-        F.when(~zero, F.col("u") - u0).cast("int").alias("delta_u"), F.when(~zero, F.col("e") - e0).cast("int").alias("delta_e"),
-    )
 
+def _shape(d: int, places: int) -> tuple[int, int]:
+    """Decimal places and exponent of the number d / 10**places, d not 0."""
+    try:
+        e = math.frexp(abs(d) / 10**places)[1] - 1
+    except OverflowError:
+        e = 1024
+    while places and d % 10 == 0:
+        d //= 10
+        places -= 1
+    return places, max(e, -1023)
 
-def _places(d: Decimal) -> int:
-    return max(0, -EXACT.normalize(d).as_tuple().exponent) if d else 0
 
+def search(values: list[float], state: State) -> tuple[list[tuple], State]:
+    """(is_zero, sign, delta_u, delta_e) of each value, and the state after them.
 
-def _exponent(d: Decimal) -> int:
-    x = abs(float(d))
-    return math.frexp(x)[1] - 1 if x >= 2.2250738585072014e-308 else -1023
+    Of the references the cheapest is taken: bits of the steps in places and exponent plus mantissa bits of the difference, the oldest of
+    equals. A difference of zero ends the search and changes nothing; any other puts the value in the place of the oldest reference.
+    All differences are exact: whole numbers on the finest decimal scale in sight.
+    """
+    exact = [Decimal(repr(v)) for v in values]
+    scale = max([0, *(-d.as_tuple().exponent for d in (*exact, *state.values, *state.deltas))])
+    whole = lambda d: int(EXACT.scaleb(d, scale))
+    refs, shapes, last, at, n, out = [*map(whole, state.values)], [_shape(whole(d), scale) for d in state.deltas], [*map(whole, state.deltas)], state.at, len(state.values), []
+    for v in map(whole, exact):
+        best = None
+        for i in range(n):
+            k = (at + i) % n
+            d = v - refs[k]
+            if not d:
+                best = None
+                break
+            (u, e), (u0, e0) = _shape(d, scale), shapes[k]
+            cost = (7 if abs(u - u0) > 3 else 3) + (14 if abs(e - e0) > 3 else 3) + _bits(e, u)
+            if best is None or cost < best[0]:
+                best = cost, d, (u, e), (int(d < 0), u - u0, e - e0)
+        if best is None:
+            out.append((True, None, None, None))
+        else:
+            refs[at], last[at], shapes[at] = v, best[1], best[2]
+            at = (at + 1) % n
+            out.append((False, *best[3]))
+    back = lambda x: EXACT.normalize(EXACT.scaleb(Decimal(x), -scale))
+    return out, State(tuple(map(back, refs)), tuple(map(back, last)), at)
 
 
 def _bits(e: int, u: int) -> int:
@@ -59,42 +100,53 @@ def _bits(e: int, u: int) -> int:
     return max(0, min(52, keep))
 
 
-def best_reference_symbols(series: DataFrame, block: int = 30_000, references: int = 4) -> DataFrame:
-    """Symbols against the cheapest of the last ``references`` values, in exact decimals (``SYMBOLS``).
+RUN = 4_096
 
-    A zero difference ends the search; else the cost of a reference is the bits of its steps plus the mantissa bits of its
-    difference. The chosen reference carries on in the sequence, so a block is one group; each block starts afresh from 0.1.
-    """
 
-    def run(t):
-        out, values, deltas, at = [], [Decimal("0.1")] * references, [Decimal("0.1")] * references, 0
-        t = t.sort_by([("pos", "ascending")])
-        for pos, x in zip(t["pos"].to_pylist(), t["value"].to_pylist(), strict=True):
-            v, best = Decimal(repr(x)), None
-            for i in range(references):
-                k = (at + i) % references
-                places = max(_places(v), _places(values[k]))
-                d = EXACT.quantize(EXACT.subtract(v, values[k]), Decimal(1).scaleb(-places))
-                if not d:
-                    best = None
-                    break
-                du, de = _places(d) - _places(deltas[k]), _exponent(d) - _exponent(deltas[k])
-                cost = (7 if abs(du) > 3 else 3) + (14 if abs(de) > 3 else 3) + _bits(_exponent(d), _places(d))
-                if best is None or cost < best[0]:
-                    best = cost, k, d, (int(d < 0), du, de)
-            if best is None:
-                out.append((pos, True, None, None, None))
-            else:
-                _, k, d, key = best
-                values[at], deltas[at] = EXACT.add(values[k], d), d
-                at = (at + 1) % references
-                out.append((pos, False, *key))
-        cols = list(zip(*out, strict=True))
-        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
-        return pa.table([t["series_id"], t["block_id"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[f.split()[0] for f in SYMBOLS.split(", ")])
-
-    rows = series.where(~F.isnan("value") & (F.abs("value") < float("inf"))).withColumn("block_id", F.floor(F.col("pos") / block).cast("long"))
-    return rows.select("series_id", "block_id", "pos", "value").groupBy("series_id", "block_id").applyInArrow(run, SYMBOLS)
+def symbols(series: DataFrame, block: int = 30_000, references: int = 4) -> DataFrame:
+    """A symbol per value (``SYMBOLS``), against the cheapest of the last ``references`` values that were not repeats.
+
+    The search runs on from block to block of a series, so what a block sees depends on all before it. Yet it is done in parallel, and
+    exactly: series are cut into runs; each run is first searched from the start state, then again wherever the state that the run
+    before it ended in is not the one it began with, until all fit. References are forgotten after a few values, so the second round
+    settles nearly all runs; a round whose states all fit is the last. Values that are not finite are left out.
+    """
+    rows = series.where(~F.isnan("value") & (F.abs("value") < float("inf")))
+    runs = rows.groupBy("series_id", F.floor(F.col("pos") / RUN).cast("long").alias("run")).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))
+    runs = _staged(runs.select("series_id", "run", F.col("v.pos").alias("pos"), F.col("v.value").alias("value")), "runs")
+
+    def settle(batches):
+        for b in batches:
+            after = [search(v, State.of(s))[1].text() for v, s in zip(b.column("value").to_pylist(), b.column("before").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("series_id"), b.column("run"), b.column("before"), pa.array(after, pa.string())], names=["series_id", "run", "before", "after"])
+
+    kinds = "series_id string, run long, before string, after string"
+    first = start(references).text()
+    states = _staged(runs.withColumn("before", F.lit(first)).select("series_id", "run", "before", "value").mapInArrow(settle, kinds), "states")
+    while True:
+        # A run follows the last one before it that has values.
+        due = F.coalesce(F.lag("after").over(Window.partitionBy("series_id").orderBy("run")), F.lit(first))
+        due = states.withColumn("due", due)
+        wrong = _staged(due.where("before <> due").select("series_id", "run", F.col("due").alias("before")), "due")
+        if not wrong.limit(1).count():
+            break
+        again = runs.join(wrong, ["series_id", "run"]).select("series_id", "run", "before", "value").mapInArrow(settle, kinds)
+        states = _staged(states.join(wrong, ["series_id", "run"], "left_anti").unionByName(again), "states")
+
+    def emit(batches):
+        for b in batches:
+            for sid, pos, values, before in zip(*(b.column(c).to_pylist() for c in ("series_id", "pos", "value", "before")), strict=True):
+                cols = list(zip(*search(values, State.of(before))[0], strict=True))
+                kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([sid] * len(pos), pa.string()), pa.array([p // block for p in pos], pa.int64()), pa.array(pos, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[f.split()[0] for f in SYMBOLS.split(", ")])
+
+    return runs.join(states.select("series_id", "run", "before"), ["series_id", "run"]).mapInArrow(emit, SYMBOLS)
+
+
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def key_counts(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -153,13 +205,19 @@ def entropy(counts: DataFrame, by: list[str]) -> DataFrame:
     return h.select(*by, "distinct_keys", "entropy", F.pow(F.lit(2.0), F.col("entropy")).alias("effective_keys"), norm.alias("normalized_entropy"))
 
 
-def dataset_summary(rows: DataFrame) -> DataFrame:
-    """One row per series: values, zeros, symbols, zero rate, distinct keys, entropy figures, coverage of the top 8, 16 and 32, blocks."""
+SUMMARY_K = (1, 4, 8, 16, 32, 64)
+
+
+def dataset_summary(rows: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
+    """One row per series: values, symbols, zeros, zero rate, invalid rows (of ``invalid``: series_id, invalid_rows; else 0), distinct keys,
+    entropy figures, coverage of the top 1, 4, 8, 16, 32 and 64, blocks."""
     counts = key_counts(rows, ["series_id"])
     base = rows.groupBy("series_id").agg(F.count("*").alias("values"), F.count_if("is_zero").alias("zeros"), F.count_distinct("block_id").alias("blocks"))
     base = base.withColumn("symbols", F.col("values") - F.col("zeros")).withColumn("zero_rate", F.col("zeros") / F.col("values"))
-    tops = coverage(counts, ["series_id"], (8, 16, 32)).groupBy("series_id").pivot("k", [8, 16, 32]).agg(F.first("coverage"))
-    tops = tops.select("series_id", *(F.col(str(k)).alias(f"top{k}_coverage") for k in (8, 16, 32)))
+    base = base.join(invalid.select("series_id", "invalid_rows"), "series_id", "left") if invalid is not None else base.withColumn("invalid_rows", F.lit(0))
+    base = base.withColumn("invalid_rows", F.coalesce("invalid_rows", F.lit(0)).cast("long"))
+    tops = coverage(counts, ["series_id"], SUMMARY_K).groupBy("series_id").pivot("k", list(SUMMARY_K)).agg(F.first("coverage"))
+    tops = tops.select("series_id", *(F.col(str(k)).alias(f"top{k}_coverage") for k in SUMMARY_K))
     return base.join(entropy(counts, ["series_id"]), "series_id", "left").join(tops, "series_id", "left")
 
 
@@ -185,24 +243,22 @@ def centred_region(counts: DataFrame, by: list[str], targets: tuple[float, ...]
     return ok.select(*by, "target", F.col("u").alias("ulp_radius"), F.col("ae").alias("exponent_radius"), "cells", "covered", "total", (F.col("covered") / F.col("total")).alias("actual_coverage"))
 
 
-def block_stability(rows: DataFrame, k: int = 16) -> DataFrame:
-    """Each block against the top k keys of the block before: hit rate, Jaccard of both top k sets, net savings per symbol.
+def block_stability(rows: DataFrame, ks: tuple[int, ...] = (16, 32)) -> DataFrame:
+    """Each block against the top k keys of the block before, for each k: hit rate, Jaccard of both top k sets, net savings per symbol.
 
     Null for the first block of a series.
     """
     by = ["series_id", "block_id"]
-    counts = key_counts(rows, by)
-    r = ranked(counts, by)
-    prev = r.where(F.col("rank") <= k).select("series_id", (F.col("block_id") + 1).alias("block_id"), *KEY, F.lit(1).alias("in_prev"))
-    size = prev.groupBy(*by).agg(F.count("*").alias("prev_size"))
-    j = r.join(prev, [*by, *KEY], "left")
-    hit, top = F.col("in_prev").isNotNull(), F.col("rank") <= k
-    sums = j.groupBy(*by).agg(F.sum("count").alias("symbols"), F.sum(F.when(hit, F.col("count")).otherwise(0)).alias("hits"), F.count_if(hit & top).alias("shared"), F.count_if(top).alias("top"), F.sum(F.when(hit, F.col("count") * _key_bits()).otherwise(0)).alias("saved"))
-    code = max(1, math.ceil(math.log2(k + 2)))
-    net = F.col("saved") - F.col("symbols") * code - BOOK_BITS - ENTRY_BITS * F.col("prev_size")
+    r = ranked(key_counts(rows, by), by).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    prev = r.where(F.col("rank") <= F.col("k")).select("series_id", (F.col("block_id") + 1).alias("block_id"), "k", *KEY, F.lit(1).alias("in_prev"))
+    size = prev.groupBy(*by, "k").agg(F.count("*").alias("prev_size"))
+    j = r.join(prev, [*by, "k", *KEY], "left")
+    hit, top = F.col("in_prev").isNotNull(), F.col("rank") <= F.col("k")
+    sums = j.groupBy(*by, "k").agg(F.sum("count").alias("symbols"), F.sum(F.when(hit, F.col("count")).otherwise(0)).alias("hits"), F.count_if(hit & top).alias("shared"), F.count_if(top).alias("top"), F.sum(F.when(hit, F.col("count") * _key_bits()).otherwise(0)).alias("saved"))
+    net = F.col("saved") - F.col("symbols") * ceil_log2(F.col("k") + 2) - BOOK_BITS - ENTRY_BITS * F.col("prev_size")
     known = F.col("prev_size").isNotNull()
-    out = sums.join(size, by, "left")
-    return out.select(*by, "symbols", F.when(known, F.col("hits") / F.col("symbols")).alias("previous_hit_rate"), F.when(known, F.col("shared") / (F.col("top") + F.col("prev_size") - F.col("shared"))).alias("jaccard"), F.when(known, net / F.col("symbols")).alias("net_savings_bits_per_symbol"))
+    out = sums.join(size, [*by, "k"], "left")
+    return out.select(*by, "k", "symbols", F.when(known, F.col("hits") / F.col("symbols")).alias("previous_hit_rate"), F.when(known, F.col("shared") / (F.col("top") + F.col("prev_size") - F.col("shared"))).alias("jaccard"), F.when(known, net / F.col("symbols")).alias("net_savings_bits_per_symbol"))
 
 
 def choose_codebook(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -221,10 +277,14 @@ def global_summary(rows: DataFrame) -> DataFrame:
     """metric, value pairs over all series."""
     counts = key_counts(rows, []).withColumn("all", F.lit(0))
     e = entropy(counts, ["all"])
-    stab = block_stability(rows).agg((F.sum(F.col("previous_hit_rate") * F.col("symbols")) / F.sum(F.when(F.col("previous_hit_rate").isNotNull(), F.col("symbols")))).alias("pooled_hit_rate"))
+    known = F.when(F.col("previous_hit_rate").isNotNull(), F.col("symbols"))
+    pool = lambda c: F.sum(F.col(c) * F.col("symbols")) / F.sum(known)
+    stab = block_stability(rows, (16, 32)).groupBy("k").agg(pool("previous_hit_rate").alias("rate"), pool("net_savings_bits_per_symbol").alias("net"))
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    stab = stab.agg(pick(16, "rate").alias("pooled_hit_rate"), pick(32, "rate").alias("pooled_hit_rate_32"), pick(16, "net").alias("pooled_net_savings"), pick(32, "net").alias("pooled_net_savings_32"))
     base = rows.agg(F.count("*").cast("double").alias("values"), F.count_if("is_zero").cast("double").alias("zeros"), F.count_distinct("series_id").cast("double").alias("datasets"))
     one = base.crossJoin(e.drop("all")).crossJoin(stab)  # three one-row tables
-    names = ["datasets", "values", "zeros", "distinct_keys", "entropy", "effective_keys", "normalized_entropy", "pooled_hit_rate"]
+    names = ["datasets", "values", "zeros", "distinct_keys", "entropy", "effective_keys", "normalized_entropy", "pooled_hit_rate", "pooled_hit_rate_32", "pooled_net_savings", "pooled_net_savings_32"]
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))).alias("m")).select("m.metric", "m.value")
 
 

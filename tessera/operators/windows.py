@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 128
-MAX_RECORDS, MAX_BITS, MAX_SCALE = 511, 65_535, 15
+MAX_RECORDS, MAX_BITS, MAX_SCALE = 511, 16_383, 15
 RAW, STEP, SAME = 1, 2, 3
 FIELDS = "cnt int, bit_len int, scale int, width int, base long, payload binary, first_value double, w_sum double, w_min double, w_max double, n_raw int, n_zero int, n_esc int"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}

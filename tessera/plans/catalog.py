@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numeric
 from tessera.operators import codecs, position_query, transitions, windows
 from tessera.operators.mutate import EDITS, WindowStore
+from tessera.sources.scratch import shared_folder
 from tessera.sources.series import shuffled
 
 BLOCK = 1_000
@@ -40,8 +41,24 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(rows, LINE_ORDER).select(F.lit("lineitem").alias("series_id"), "pos", F.col("l_extendedprice").alias("value"))
 
 
+_stores: dict[tuple, WindowStore] = {}
+
+
+def events_store(spark: SparkSession, sf_dir: str) -> WindowStore:
+    """The stored window table of events, built once a session and table file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    stamp = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+    key = spark.sparkContext.applicationId, sf_dir, stamp
+    if key not in _stores:
+        store = WindowStore(spark, f"{shared_folder(spark)}/tessera/windows-{uuid.uuid4().hex}")
+        store.create(events(spark, sf_dir))
+        _stores[key] = store
+    return _stores[key]
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.build(events(spark, sf_dir))
+    return events_store(spark, sf_dir).windows(1)
 
 
 def _decoded(spark: SparkSession, sf_dir: str, both: bool = False) -> DataFrame:
@@ -76,15 +93,35 @@ def total_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return position_query.locate(_windows(spark, sf_dir), "events", 777)
+    return position_query.locate(events_store(spark, sf_dir).range_windows("events", 777, 1), "events", 777)
 
 
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return position_query.points(_windows(spark, sf_dir), "events", [0, 127, 128, 999])
+    store, found = events_store(spark, sf_dir), None
+    for p in (0, 127, 128, 999):
+        one = position_query.points(store.range_windows("events", p, 1), "events", [p])
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def range_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return position_query.range_values(_windows(spark, sf_dir), "events", 100, 500)
+    store = events_store(spark, sf_dir)
+    return position_query.range_values(store.range_windows("events", 100, 500), "events", 100, 500, store.total_records("events"))
+
+
+def range_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = events_store(spark, sf_dir)
+    return position_query.range_decimals(store.range_windows("events", 100, 500), "events", 100, 500, store.total_records("events"))
+
+
+def range_exact_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return position_query.exact_sum(range_decimals(spark, sf_dir))
+
+
+def window_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each window of a range decodes and selects."""
+    part = position_query.window_partials(events_store(spark, sf_dir).range_windows("events", 100, 850), 100, 850)
+    return part.select("window_id", F.col("decoded").cast("long").alias("decoded"), F.col("selected").cast("long").alias("selected"), F.col("lo").alias("min_value"), F.col("hi").alias("max_value"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -92,19 +129,20 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def range_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(position_query.range_aggregate(_windows(spark, sf_dir), "events", 100, 850))
+    store = events_store(spark, sf_dir)
+    return _rounded(position_query.range_aggregate(store.range_windows("events", 100, 850), "events", 100, 850, n=store.total_records("events")))
 
 
 def range_aggregate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(position_query.range_aggregate(_windows(spark, sf_dir), "events", 100, 850, use_stats=True))
+    store = events_store(spark, sf_dir)
+    return _rounded(position_query.range_aggregate(store.range_windows("events", 100, 850), "events", 100, 850, True, store.total_records("events")))
 
 
-def _edited(spark: SparkSession, sf_dir: str, edits: list[tuple]) -> DataFrame:
-    from tessera.sources.scratch import shared_folder
-
+def _edited(spark: SparkSession, sf_dir: str, edits: list[tuple], at_end: list[tuple] = ()) -> DataFrame:
     store = WindowStore(spark, f"{shared_folder(spark)}/tessera/windows-{uuid.uuid4().hex}")
     store.create(events(spark, sf_dir))
-    store.apply(spark.createDataFrame([("events", *e) for e in edits], EDITS))
+    n = store.total_records("events", 1) if at_end else 0
+    store.apply(spark.createDataFrame([("events", *e) for e in edits] + [("events", op, n + p, *e) for op, p, *e in at_end], EDITS))
     return windows.decode(store.windows()).select("pos", "value")
 
 
@@ -120,6 +158,20 @@ def delete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edited(spark, sf_dir, [("delete", 127, 0, None), ("delete", 500, 0, None)])
 
 
+def append_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir, [], [("insert", 0, 0, 3.5), ("insert", 0, 1, -4.25)])
+
+
+def delete_to_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of the second window: it stays, empty, and every query skips it."""
+    return _edited(spark, sf_dir, [("delete", p, 0, None) for p in range(128, 256)])
+
+
+def bucket_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets of the stored table: records, windows and positions of each."""
+    return events_store(spark, sf_dir).buckets(1).select("series_id", "bucket", "cnt", "windows", "start_pos", "end_pos")
+
+
 def zero_residual_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir).agg(F.sum("n_zero").alias("n_zero"), F.sum("n_raw").alias("n_raw"))
 
@@ -174,7 +226,7 @@ def codebook_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = transitions.dataset_summary(_symbols(spark, sf_dir))
-    return _r(out, "zero_rate", "entropy", "effective_keys", "normalized_entropy", "top8_coverage", "top16_coverage", "top32_coverage", digits=6)
+    return _r(out, "zero_rate", "entropy", "effective_keys", "normalized_entropy", *(f"top{k}_coverage" for k in transitions.SUMMARY_K), digits=6)
 
 
 def global_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,9 +238,13 @@ def heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("delta_u", *(F.col(str(e)).alias(f"e{'m' if e < 0 else ''}{abs(e)}") for e in range(-3, 4)))
 
 
-def best_reference_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transitions.best_reference_symbols(_decoded(spark, sf_dir), BLOCK)
-    return transitions.key_counts(rows, ["series_id"])
+def transition_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _symbols(spark, sf_dir)
+
+
+def top_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = transitions.key_counts(_symbols(spark, sf_dir), ["series_id"])
+    return transitions.top_keys(counts, ["series_id"], 32)
 
 
 def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +274,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         window_roundtrip, window_roundtrip_prices, window_index, prefix_sums, total_records, locate, point_lookup, range_values, range_aggregate,
-        range_aggregate_stats, update_records, insert_records, delete_records, zero_residual_count, decimal_places_hist, exponent_hist,
+        range_aggregate_stats, range_decimals, range_exact_sum, window_partials, update_records, insert_records, delete_records, append_records, delete_to_empty, bucket_index, zero_residual_count, decimal_places_hist, exponent_hist,
         key_distribution, topk_coverage, pooled_counts, key_entropy, block_counts, block_stability, centred_region, codebook_choice,
-        dataset_summary, global_summary, heat_map, best_reference_symbols, codec_sizes, codec_roundtrip, compression_summary, neighbour_zeros,
+        dataset_summary, global_summary, heat_map, transition_symbols, top_keys, codec_sizes, codec_roundtrip, compression_summary, neighbour_zeros,
         shuffled_series,
     )
 }
@@ -228,15 +284,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SERIES = """
 series as (select 'events' as series_id, event_id as pos, value from events
   union all select 'orders', row_number() over (order by o_orderkey) - 1, o_totalprice from orders)"""
-# Both series have two decimals, so hundredths are exact integers.
+# Both series have two decimals, so hundredths are exact integers. The search is a recursion over positions: r holds the last four values
+# that were no repeats, u and e the shapes of the differences that led to them, a the place of the oldest.
+_SHAPES = "list_transform(list_transform(s.r, lambda y: s.h[s.n] - y), lambda d: {'d': d, 'u': case when d % 100 = 0 then 0 when d % 10 = 0 then 1 else 2 end, 'e': case when d = 0 then -1023 else cast(floor(log2(abs(d) / 100.0)) as int) end})"
+_BITS = "greatest(0, least(52, case when z.e < 0 then z.e - cast(floor(-z.u * 3.3219280948873626) as int) else z.e + cast(ceil(z.u * 3.3219280948873626) as int) end))"
 _SYMBOLS = f"""{_SERIES},
-hundredths as (select series_id, pos, pos // {BLOCK} as block_id, cast(round(value * 100) as bigint) as h from series),
-deltas as (select *, h - coalesce(lag(h) over w, 10) as d from hundredths window w as (partition by series_id, block_id order by pos)),
-shapes as (select *, case when d % 100 = 0 then 0 when d % 10 = 0 then 1 else 2 end as u,
-  case when d = 0 then -1023 else cast(floor(log2(abs(d) / 100.0)) as int) end as e from deltas),
-symbols as (select series_id, block_id, pos, d = 0 as is_zero, cast(case when d <> 0 then (case when d < 0 then 1 else 0 end) end as int) as sign,
-  case when d <> 0 then u - coalesce(lag(u) over w, 1) end as delta_u, case when d <> 0 then e - coalesce(lag(e) over w, -4) end as delta_e
-  from shapes window w as (partition by series_id, block_id order by pos)),
+lists as (select series_id, list(cast(round(value * 100) as bigint) order by pos) as h, count(*) as total from series group by series_id),
+walk as (select series_id, h, total, 1::bigint as n, [10, 10, 10, 10]::bigint[] as r, [1, 1, 1, 1]::int[] as u, [-4, -4, -4, -4]::int[] as e, 0 as a, null::struct(zero boolean, sign int, du int, de int) as symbol from lists
+  union all select series_id, h, total, n + 1,
+    case when m is null then r else list_transform(range(1, 5), lambda i: case when i = a + 1 then h[n] else r[i] end) end,
+    case when m is null then u else list_transform(range(1, 5), lambda i: case when i = a + 1 then m.u else u[i] end) end,
+    case when m is null then e else list_transform(range(1, 5), lambda i: case when i = a + 1 then m.e else e[i] end) end,
+    case when m is null then a else (a + 1) % 4 end,
+    case when m is null then {{'zero': true, 'sign': null, 'du': null, 'de': null}} else {{'zero': false, 'sign': case when m.d < 0 then 1 else 0 end, 'du': m.u - m.u0, 'de': m.e - m.e0}} end
+  from (select series_id, h, total, n, r, u, e, a, case when list_contains(r, h[n]) then null else list_sort(list_transform(range(0, 4), lambda i: {{
+      'cost': case when abs(x[(a + i) % 4 + 1].u - u[(a + i) % 4 + 1]) > 3 then 7 else 3 end + case when abs(x[(a + i) % 4 + 1].e - e[(a + i) % 4 + 1]) > 3 then 14 else 3 end + b[(a + i) % 4 + 1],
+      'i': i, 'd': x[(a + i) % 4 + 1].d, 'u': x[(a + i) % 4 + 1].u, 'e': x[(a + i) % 4 + 1].e, 'u0': u[(a + i) % 4 + 1], 'e0': e[(a + i) % 4 + 1]}}))[1] end as m
+    from (select s.*, list_transform(x, lambda z: {_BITS}) as b from (select s.*, {_SHAPES} as x from walk s where s.n <= s.total) s) s) t),
+symbols as (select series_id, (n - 2) // {BLOCK} as block_id, n - 2 as pos, symbol.zero as is_zero, symbol.sign as sign, symbol.du as delta_u, symbol.de as delta_e from walk where n > 1),
 counts as (select series_id, sign, delta_u, delta_e, count(*) as count from symbols where not is_zero group by all),
 ranked as (select *, row_number() over (partition by series_id order by count desc, sign, delta_u, delta_e) as rank,
   sum(count) over (partition by series_id) as total,
@@ -245,21 +310,22 @@ bcounts as (select series_id, block_id, sign, delta_u, delta_e, count(*) as coun
 branked as (select *, row_number() over (partition by series_id, block_id order by count desc, sign, delta_u, delta_e) as rank,
   1 + case when abs(delta_u) > 3 then 7 else 3 end + case when abs(delta_e) > 3 then 14 else 3 end as key_bits from bcounts),
 ent as (select series_id, count(*) as distinct_keys, -sum(count * 1.0 / total * log2(count * 1.0 / total)) as entropy from ranked group by series_id)"""
-_STABILITY = """, prev as (select series_id, block_id + 1 as block_id, sign, delta_u, delta_e from branked where rank <= 16),
-psize as (select series_id, block_id, count(*) as prev_size from prev group by all),
-hit as (select b.series_id, b.block_id, sum(b.count) as symbols, sum(case when p.sign is not null then b.count else 0 end) as hits,
-  count(case when p.sign is not null and rank <= 16 then 1 end) as shared, count(case when rank <= 16 then 1 end) as top,
+_STABILITY = """, ks as (select unnest([16, 32]) as k),
+prev as (select series_id, block_id + 1 as block_id, k, sign, delta_u, delta_e from branked, ks where rank <= k),
+psize as (select series_id, block_id, k, count(*) as prev_size from prev group by all),
+hit as (select b.series_id, b.block_id, b.k, sum(b.count) as symbols, sum(case when p.sign is not null then b.count else 0 end) as hits,
+  count(case when p.sign is not null and rank <= b.k then 1 end) as shared, count(case when rank <= b.k then 1 end) as top,
   sum(case when p.sign is not null then b.count * key_bits else 0 end) as saved
-  from branked b left join prev p on b.series_id = p.series_id and b.block_id = p.block_id and b.sign = p.sign and b.delta_u = p.delta_u and b.delta_e = p.delta_e
-  group by b.series_id, b.block_id),
-stability as (select h.series_id, h.block_id, cast(symbols as bigint) as symbols, case when prev_size is not null then hits * 1.0 / symbols end as previous_hit_rate,
+  from (select * from branked, ks) b left join prev p on b.series_id = p.series_id and b.block_id = p.block_id and b.k = p.k and b.sign = p.sign and b.delta_u = p.delta_u and b.delta_e = p.delta_e
+  group by b.series_id, b.block_id, b.k),
+stability as (select h.series_id, h.block_id, h.k, cast(symbols as bigint) as symbols, case when prev_size is not null then hits * 1.0 / symbols end as previous_hit_rate,
   case when prev_size is not null then shared * 1.0 / (top + prev_size - shared) end as jaccard,
-  case when prev_size is not null then (saved - symbols * 5 - 21 - 17 * prev_size) * 1.0 / symbols end as net_savings_bits_per_symbol
-  from hit h left join psize s on h.series_id = s.series_id and h.block_id = s.block_id)"""
+  case when prev_size is not null then (saved - symbols * ceil(log2(h.k + 2)) - 21 - 17 * prev_size) * 1.0 / symbols end as net_savings_bits_per_symbol
+  from hit h left join psize s on h.series_id = s.series_id and h.block_id = s.block_id and h.k = s.k)"""
 
 
 def _with(select: str, more: str = "") -> str:
-    return f"with {_SYMBOLS.strip()}{more} {select}"
+    return f"with recursive {_SYMBOLS.strip()}{more} {select}"
 
 
 _AGGREGATE = "select count(*) as n, round(cast(sum(cast(value as decimal(18,2))) as double), 2) as sum_value, round(cast(sum(cast(value as decimal(18,2))) as double) / count(*), 6) as avg_value, min(value) as min_value, max(value) as max_value from events where event_id >= 100 and event_id < 950"
@@ -276,6 +342,12 @@ ORACLES: dict[str, str] = {
     "range_values": _ROUNDTRIP + " where event_id >= 100 and event_id < 600",
     "range_aggregate": _AGGREGATE,
     "range_aggregate_stats": _AGGREGATE,
+    "range_decimals": "select event_id as pos, case when value = trunc(value) then cast(cast(value as decimal(18,1)) as varchar) else rtrim(cast(cast(value as decimal(18,2)) as varchar), '0') end as value from events where event_id >= 100 and event_id < 600",
+    "range_exact_sum": "select count(*) as n, rtrim(cast(sum(cast(value as decimal(18,2))) as varchar), '0') as sum from events where event_id >= 100 and event_id < 600",
+    "window_partials": "select event_id // 128 as window_id, count(*) as decoded, count(case when event_id >= 100 and event_id < 950 then 1 end) as selected, min(case when event_id >= 100 and event_id < 950 then value end) as min_value, max(case when event_id >= 100 and event_id < 950 then value end) as max_value from events where event_id // 128 <= 949 // 128 group by 1",
+    "append_records": _ROUNDTRIP + " union all select (select count(*) from events), 3.5 union all select (select count(*) + 1 from events), -4.25",
+    "delete_to_empty": "select row_number() over (order by event_id) - 1 as pos, value from events where event_id not between 128 and 255",
+    "bucket_index": "select 'events' as series_id, event_id // 524288 as bucket, count(*) as cnt, count(distinct event_id // 128) as windows, min(event_id) as start_pos, max(event_id) + 1 as end_pos from events group by 2",
     "update_records": "select event_id as pos, case event_id when 5 then -1.5 when 128 then cast('0.1234567890123456' as double) when 900 then 0.0 else value end as value from events",
     "insert_records": "select case when event_id >= 128 then event_id + 2 else event_id end as pos, value from events union all select 128, 7.25 union all select 129, 8.25",
     "delete_records": "select row_number() over (order by event_id) - 1 as pos, value from events where event_id not in (127, 500)",
@@ -295,7 +367,7 @@ ORACLES: dict[str, str] = {
     "pooled_counts": _with("select 'dataset' as scope, series_id, sign, delta_u, delta_e, count from counts union all select 'global', 'ALL', sign, delta_u, delta_e, cast(sum(count) as bigint) from counts group by sign, delta_u, delta_e"),
     "key_entropy": _with("select series_id, distinct_keys, round(entropy, 6) as entropy, round(pow(2, entropy), 6) as effective_keys, round(case when distinct_keys > 1 then entropy / log2(distinct_keys) else 0 end, 6) as normalized_entropy from ent"),
     "block_counts": _with('select series_id, block_id, count(*) as "values", count(case when is_zero then 1 end) as zeros, count(distinct case when not is_zero then (sign, delta_u, delta_e) end) as distinct_keys from symbols group by series_id, block_id'),
-    "block_stability": _with("select series_id, block_id, symbols, round(previous_hit_rate, 9) as previous_hit_rate, round(jaccard, 9) as jaccard, round(net_savings_bits_per_symbol, 9) as net_savings_bits_per_symbol from stability", _STABILITY),
+    "block_stability": _with("select series_id, block_id, k, symbols, round(previous_hit_rate, 9) as previous_hit_rate, round(jaccard, 9) as jaccard, round(net_savings_bits_per_symbol, 9) as net_savings_bits_per_symbol from stability", _STABILITY),
     "centred_region": _with(
         "select series_id, target, ulp_radius, exponent_radius, cast(cells as bigint) as cells, cast(covered as bigint) as covered, cast(total as bigint) as total, round(covered * 1.0 / total, 9) as actual_coverage from best where k = 1",
         """, c as (select series_id, abs(delta_u) as au, abs(delta_e) as ae, sum(count) as n from counts group by all),
@@ -315,19 +387,25 @@ best as (select *, row_number() over (partition by series_id, block_id order by
     ),
     "dataset_summary": _with(
         """select b.series_id, "values", zeros, blocks, "values" - zeros as symbols, round(zeros * 1.0 / "values", 6) as zero_rate, distinct_keys, round(entropy, 6) as entropy, round(pow(2, entropy), 6) as effective_keys,
-  round(case when distinct_keys > 1 then entropy / log2(distinct_keys) else 0 end, 6) as normalized_entropy, round(top8, 6) as top8_coverage, round(top16, 6) as top16_coverage, round(top32, 6) as top32_coverage
+  round(case when distinct_keys > 1 then entropy / log2(distinct_keys) else 0 end, 6) as normalized_entropy, cast(0 as bigint) as invalid_rows, """
+        + ", ".join(f"round(top{k}, 6) as top{k}_coverage" for k in transitions.SUMMARY_K)
+        + """
   from (select series_id, count(*) as "values", count(case when is_zero then 1 end) as zeros, count(distinct block_id) as blocks from symbols group by series_id) b join ent using (series_id)
-  join (select series_id, sum(case when rank <= 8 then count else 0 end) * 1.0 / max(total) as top8, sum(case when rank <= 16 then count else 0 end) * 1.0 / max(total) as top16, sum(case when rank <= 32 then count else 0 end) * 1.0 / max(total) as top32 from ranked group by series_id) t using (series_id)"""
+  join (select series_id, """
+        + ", ".join(f"sum(case when rank <= {k} then count else 0 end) * 1.0 / max(total) as top{k}" for k in transitions.SUMMARY_K)
+        + """ from ranked group by series_id) t using (series_id)"""
     ),
     "global_summary": _with(
-        "select metric, round(value, 6) as value from one unpivot (value for metric in (datasets, \"values\", zeros, distinct_keys, entropy, effective_keys, normalized_entropy, pooled_hit_rate))",
+        "select metric, round(value, 6) as value from one unpivot (value for metric in (datasets, \"values\", zeros, distinct_keys, entropy, effective_keys, normalized_entropy, pooled_hit_rate, pooled_hit_rate_32, pooled_net_savings, pooled_net_savings_32))",
         _STABILITY
         + """, g as (select sign, delta_u, delta_e, sum(count) as n from counts group by all),
 ge as (select count(*) as k, -sum(n * 1.0 / t * log2(n * 1.0 / t)) as h from (select n, sum(n) over () as t from g)),
 one as (select cast(count(distinct series_id) as double) as datasets, cast(count(*) as double) as "values", cast(count(case when is_zero then 1 end) as double) as zeros,
   cast((select k from ge) as double) as distinct_keys, (select h from ge) as entropy, pow(2, (select h from ge)) as effective_keys, (select h / log2(k) from ge) as normalized_entropy,
-  cast((select sum(previous_hit_rate * symbols) / sum(case when previous_hit_rate is not null then symbols end) from stability) as double) as pooled_hit_rate from symbols)""",
+  cast((select sum(previous_hit_rate * symbols) / sum(case when previous_hit_rate is not null then symbols end) from stability where k = 16) as double) as pooled_hit_rate, cast((select sum(previous_hit_rate * symbols) / sum(case when previous_hit_rate is not null then symbols end) from stability where k = 32) as double) as pooled_hit_rate_32, cast((select sum(net_savings_bits_per_symbol * symbols) / sum(case when net_savings_bits_per_symbol is not null then symbols end) from stability where k = 16) as double) as pooled_net_savings, cast((select sum(net_savings_bits_per_symbol * symbols) / sum(case when net_savings_bits_per_symbol is not null then symbols end) from stability where k = 32) as double) as pooled_net_savings_32 from symbols)""",
     ),
+    "transition_symbols": _with("select series_id, block_id, pos, is_zero, sign, delta_u, delta_e from symbols"),
+    "top_keys": _with("select series_id, sign, delta_u, delta_e, count, cast(rank as int) as rank from ranked where rank <= 32"),
     "heat_map": _with("select delta_u, " + ", ".join(f"cast(sum(case when delta_e = {e} then count else 0 end) as bigint) as e{'m' if e < 0 else ''}{abs(e)}" for e in range(-3, 4)) + " from counts where abs(delta_u) <= 3 and abs(delta_e) <= 3 group by delta_u"),
     "codec_roundtrip": "select 'events' as series_id, codec, n as records, n as decoded_records, cast(0 as bigint) as mismatches, cast(0 as bigint) as zero_sign_differences, 'PASS_RAW_BITS' as status from (select unnest(['xor','look_back','erased','decimal','window']) as codec), (select count(*) as n from events)",
     "shuffled_series": "select value, count(*) as n from events group by value",

@@ -1,5 +1,7 @@
 import math
+import random
 from collections import Counter
+from decimal import Context, Decimal
 
 from tessera.operators import transitions as tr
 
@@ -8,16 +10,46 @@ def frame(spark, values):
     return spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "series_id string, pos long, value double")
 
 
-def test_symbols_by_hand(spark):
-    rows = tr.symbols(frame(spark, [1.5, 1.5, 2.0, float("nan"), 1.25]), 100).orderBy("pos").collect()
-    # deltas: 1.4 (one place, exponent 0) against 0.1 (1, -4); 0; 0.5 (1, -1) against 0 (0, -1023); -0.75 (2, -1) against 0.5
-    assert [(r["is_zero"], r["sign"], r["delta_u"], r["delta_e"]) for r in rows] == [(False, 0, 0, 4), (True, None, None, None), (False, 0, 1, 1022), (False, 1, 1, 0)]
+def plain_symbols(values):
+    """One value after the other, in exact decimals."""
+    refs, deltas, at, out = [Decimal("0.1")] * 4, [Decimal("0.1")] * 4, 0, []
+    ctx = Context(prec=2_000)
+    places = lambda d: max(0, -ctx.normalize(d).as_tuple().exponent)
+    power = lambda d: 1024 if math.isinf(float(d)) else max(-1023, math.frexp(abs(float(d)))[1] - 1)
+    for v in values:
+        v, best = Decimal(repr(v)), None
+        for k in [*range(at, 4), *range(at)]:
+            d = ctx.subtract(v, refs[k])
+            if d == 0:
+                best = None
+                break
+            u, e = places(d), power(d)
+            du, de = u - places(deltas[k]), e - power(deltas[k])
+            keep = e - math.floor(-u * math.log(10) / math.log(2)) if e < 0 else e + math.ceil(u * math.log(10) / math.log(2))
+            cost = (3 if abs(du) <= 3 else 7) + (3 if abs(de) <= 3 else 14) + min(52, max(0, keep))
+            if best is None or cost < best[0]:
+                best = cost, d, (int(d < 0), du, de)
+        out.append((best is None, *(best[2] if best else (None,) * 3)))
+        if best:
+            refs[at], deltas[at], at = v, best[1], (at + 1) % 4
+    return out
 
 
-def test_best_reference_takes_a_match_among_the_last_four(spark):
-    rows = tr.best_reference_symbols(frame(spark, [5.25, 7.5, 5.25, 7.5, 9.0]), 100).orderBy("pos").collect()
-    assert [r["is_zero"] for r in rows] == [False, False, True, True, False]
-    assert tr.best_reference_symbols(frame(spark, [0.1, 1e-300, 1e300]), 100).count() == 3
+def test_symbols_of_any_decimals_over_many_runs(spark, monkeypatch):
+    rng = random.Random(5)
+    values = [round(rng.gauss(0, 50), rng.randrange(10)) if rng.random() < 0.7 else rng.choice([1.25, 1.25, 0.5]) for _ in range(1500)] + [1e-300, 1e300, -0.0, 0.0, 5e-324, 1.7976931348623157e308, -1.7e308]
+    monkeypatch.setattr(tr, "RUN", 64)
+    rows = tr.symbols(frame(spark, [*values, float("nan"), float("inf")]), 100).orderBy("pos").collect()
+    assert [(r["is_zero"], r["sign"], r["delta_u"], r["delta_e"]) for r in rows] == plain_symbols(values)
+    assert all(r["block_id"] == r["pos"] // 100 for r in rows)
+
+
+def test_a_state_that_never_forgets_is_carried_through_all_runs(spark, monkeypatch):
+    # Repeats only: no run changes the state, so each must wait for the one before it.
+    monkeypatch.setattr(tr, "RUN", 8)
+    values = [3.75, 4.5, 9.0, 2.25] + [9.0] * 40 + [4.75]
+    got = [(r["is_zero"], r["sign"], r["delta_u"], r["delta_e"]) for r in tr.symbols(frame(spark, values), 100).orderBy("pos").collect()]
+    assert got == plain_symbols(values)
 
 
 def test_region_and_coverage_against_loops(spark):
@@ -41,7 +73,7 @@ def test_region_and_coverage_against_loops(spark):
 
 def test_first_block_has_no_predecessor(spark):
     rows = tr.symbols(frame(spark, [((i * 7) % 13) / 4 for i in range(300)]), 100)
-    got = tr.block_stability(rows).orderBy("block_id").collect()
+    got = tr.block_stability(rows, (16,)).orderBy("block_id").collect()
     assert got[0]["previous_hit_rate"] is None and 0 <= got[1]["previous_hit_rate"] <= 1
     c = Counter((r["block_id"], r["is_zero"]) for r in rows.collect())
     assert {(r["block_id"], r["zeros"]) for r in tr.block_counts(rows).collect()} == {(b, c[b, True]) for b in range(3)}
