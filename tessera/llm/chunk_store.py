@@ -252,5 +252,8 @@ def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
 
 
 def with_starts(counts: DataFrame) -> DataFrame:
-    """Add ``start``: the ids of all documents before, in doc_id order (null ids first, rows with one id by length and checksum)."""
-    return running_start(counts, ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start")
+    """Add ``start``: the ids of all documents before, in doc_id order (null ids first, rows with one id by length and checksum).
+
+    A sort by ranges reads its rows twice, so ``counts`` is written first: a few numbers a document.
+    """
+    return running_start(stage(counts, "counts"), ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start")
