@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, stage
 
 N = 13
 #: Words are runs of a-z (after lower-casing), digits and everything beyond ASCII.
@@ -51,11 +51,15 @@ def hits(docs: DataFrame, windows: DataFrame, max_broadcast: int = MAX_BROADCAST
     else:
         scan = rows.select("doc_id", "key", "w", F.explode_outer(F.flatten(F.filter(F.array(*places), lambda x: x.isNotNull()))).alias("p")).select("doc_id", "key", "w", "p.at", "p.size")
     scan = scan.withColumn("hash", F.xxhash64(F.slice("w", F.col("at"), F.col("size"))))
-    # Of a text's words only places and hashes go into the join; the words of documents with hits are then brought back to verify them.
+    # Of a text's words only places and hashes go into the join; the few texts with hits are then met again to verify the words.
     places = scan.where("at is not null").select("doc_id", "key", "at", "size", "hash")
     found = places.join(F.broadcast(grams) if small else grams, ["hash", "size"])
-    found = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "size", "gram")).alias("found")).withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-    back = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc_id", "key", "w", F.explode("found").alias("f"))
+    found = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "size", "gram")).alias("found"))
+    found = stage(found.withColumnsRenamed({"doc_id": "_d", "key": "_k"}), "candidates")
+    weight = found.agg(F.sum(F.aggregate("found", F.lit(0).cast("long"), lambda a, f: a + F.octet_length(f["gram"]) + ROW_BYTES))).first()[0] or 0
+    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    back = texts.join(F.broadcast(found) if weight <= max_broadcast else found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
+    back = back.select("doc_id", "key", words(F.col("text")).alias("w"), "found").select("doc_id", "key", "w", F.explode("found").alias("f"))
     same = F.array_join(F.slice("w", F.col("f.at"), F.col("f.size")), " ") == F.col("f.gram")
     return back.where(same).select("doc_id", "key", "f.*")
 
