@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from decimal import Context, Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_PLACES = 15
+#: Digits enough for the exact difference of any two doubles.
+EXACT = Context(prec=2_200)
 #: ln 10 / ln 2 as a quotient of doubles: the value the mantissa rule is defined with.
 LOG2_10 = math.log(10) / math.log(2)
 
@@ -98,10 +101,31 @@ def quantize_up(x: Column, places: Column) -> Column:
     return F.when(near == x, x).otherwise(F.signum(x) * F.ceil(F.abs(x) * scale) / scale)
 
 
-def decimal_difference(a: Column, b: Column, places: Column) -> Column:
-    """a - b rounded to ``places`` decimals, as the difference of two decimals with at most that many has."""
-    scale = F.pow(F.lit(10.0), places.cast("double"))
-    return F.rint((a - b) * scale) / scale
+def decimal_difference(a: Column, b: Column) -> Column:
+    """a - b as the decimals that the doubles print as, exact at the larger number of places, as the nearest double."""
+
+    @F.arrow_udf("double")
+    def minus(x: pa.Array, y: pa.Array) -> pa.Array:
+        one = lambda u, v: None if u is None or v is None else float(EXACT.subtract(Decimal(repr(u)), Decimal(repr(v)))) if math.isfinite(u) and math.isfinite(v) else u - v
+        return pa.array(map(one, x.to_pylist(), y.to_pylist()), pa.float64())
+
+    return minus(a, b)
+
+
+def mantissa_top(x: Column, bits: Column | int) -> Column:
+    """The top ``bits`` (0 to 52, clamped) of a double's mantissa, as a long."""
+    n = F.greatest(F.lit(0), F.least(F.lit(52), F.lit(bits) if isinstance(bits, int) else bits))
+    shift = (F.lit(52) - n).cast("int")
+    return F.call_function("shiftrightunsigned", f64_bits(x).bitwiseAND(F.lit((1 << 52) - 1)), shift)
+
+
+def from_fields(sign: Column, e: Column, mantissa: Column, bits: Column) -> Column:
+    """The double with this sign bit, exponent and top ``bits`` of the mantissa; exponents beyond those of finite doubles are clamped."""
+    n = F.greatest(F.lit(0), F.least(F.lit(52), bits))
+    biased = F.greatest(F.lit(0), F.least(F.lit(2046), e + 1023)).cast("long")
+    low = F.when(n == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", mantissa.cast("long"), (F.lit(52) - n).cast("int")).bitwiseAND(F.lit((1 << 52) - 1)))
+    high = F.when(sign == 1, F.lit(-(1 << 63))).otherwise(F.lit(0).cast("long"))
+    return f64_from_bits(high.bitwiseOR(F.shiftleft(biased, 52)).bitwiseOR(low))
 
 
 def exponent_cost(delta: Column) -> Column:
@@ -120,8 +144,8 @@ def ceil_log2(n: Column) -> Column:
 
 
 def same_number(a: Column, b: Column) -> Column:
-    """Equal, with both zeros alike and NaN equal to NaN; null equals null."""
-    return a.eqNullSafe(b)
+    """Equal bit patterns, NaN payloads included, with both zeros alike; null equals null only."""
+    return f64_bits(a).eqNullSafe(f64_bits(b)) | F.coalesce((a == 0) & (b == 0), F.lit(False))
 
 
 def strip_extension(name: Column) -> Column:
@@ -138,3 +162,8 @@ def parse_config(line: Column, name: str) -> Column:
 def fixed_binary(v: Column, bits: int) -> Column:
     """A non-negative integer as text of ``bits`` binary digits."""
     return F.lpad(F.bin(v), bits, "0")
+
+
+def mantissa_text(x: Column, bits: int) -> Column:
+    """The top ``bits`` of a double's mantissa as text of binary digits."""
+    return fixed_binary(mantissa_top(x, bits), bits) if bits else F.lit("")

@@ -74,3 +74,26 @@ def test_mantissa_rule(spark):
     got = [r[0] for r in df.select(numeric.mantissa_bits(F.col("e"), F.col("u"))).collect()]
     want = [e - math.floor(-u * math.log2(10)) if e < 0 else e + math.ceil(u * math.log2(10)) for e, u in ((-4, 1), (0, 2), (6, 3), (-1, 0), (300, 2))]
     assert got == [max(0, min(52, w)) for w in want]
+
+
+def test_fields_of_doubles_and_back(spark):
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.normal(size=60) * 10.0 ** rng.integers(-200, 200, 60), [0.0, -0.0, 1.0, -1.5, 5e-324, 1.7976931348623157e308]])
+    rows = spark.createDataFrame([(i, float(x), int(i % 53)) for i, x in enumerate(v)], "i long, x double, n int")
+    sign, e = (numeric.f64_bits(F.col("x")) < 0).cast("int"), F.when(F.abs("x") < 2.2250738585072014e-308, F.lit(-1023)).otherwise(numeric.exponent(F.col("x")))
+    got = rows.select("i", "n", numeric.mantissa_top(F.col("x"), F.col("n")).alias("top"), numeric.from_fields(sign, e, numeric.mantissa_top(F.col("x"), 52), F.lit(52)).alias("back"), numeric.mantissa_text(F.col("x"), 52).alias("text"))
+    bits = v.view(np.int64)
+    for r in got.collect():
+        mantissa = int(bits[r["i"]]) & ((1 << 52) - 1)
+        assert r["top"] == mantissa >> (52 - r["n"]) and r["text"] == format(mantissa, "052b")
+        assert np.float64(r["back"]).view(np.int64) == bits[r["i"]]
+
+
+def test_numbers_alike_bit_for_bit_and_exact_differences(spark):
+    nan = np.array([0x7FF8000000001234], np.uint64).view(np.float64)[0]
+    rows = spark.createDataFrame([(0, 0.0, -0.0), (1, float("nan"), float("nan")), (2, 1.0, 1.0), (3, 1.0, 1.5), (4, None, None), (5, None, 0.0), (6, 0.3, 0.1), (7, 1e300, 1e-300)], "i long, a double, b double")
+    got = {r["i"]: (r["same"], r["d"]) for r in rows.select("i", numeric.same_number(F.col("a"), F.col("b")).alias("same"), numeric.decimal_difference(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert [got[i][0] for i in range(6)] == [True, True, True, False, True, False]
+    assert got[6][1] == 0.2 and got[7][1] == 1e300 and got[5][1] is None
+    odd = spark.createDataFrame([(float(nan), float("nan"))], "a double, b double")
+    assert odd.select(numeric.same_number(F.col("a"), F.col("a"))).first()[0]
