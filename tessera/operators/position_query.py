@@ -104,7 +104,7 @@ def exact_sum(decimals: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def whole(a: pa.Array) -> pa.Array:
-        return pa.array([format(reduce(EXACT.add, map(Decimal, x), Decimal(0)), "f") for x in a.to_pylist()], pa.string())
+        return pa.array([format(EXACT.normalize(reduce(EXACT.add, map(Decimal, x), Decimal(0))), "f") for x in a.to_pylist()], pa.string())
 
     return parts.select(F.coalesce("n", F.lit(0)).alias("n"), whole(F.col("sums")).alias("sum"))
 

@@ -239,7 +239,8 @@ def heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transition_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _symbols(spark, sf_dir)
+    """A repeat has no key: zeros stand in its place, so that no column holds nulls."""
+    return _symbols(spark, sf_dir).na.fill(0, transitions.KEY)
 
 
 def top_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,7 +344,7 @@ ORACLES: dict[str, str] = {
     "range_aggregate": _AGGREGATE,
     "range_aggregate_stats": _AGGREGATE,
     "range_decimals": "select event_id as pos, case when value = trunc(value) then cast(cast(value as decimal(18,1)) as varchar) else rtrim(cast(cast(value as decimal(18,2)) as varchar), '0') end as value from events where event_id >= 100 and event_id < 600",
-    "range_exact_sum": "select count(*) as n, rtrim(cast(sum(cast(value as decimal(18,2))) as varchar), '0') as sum from events where event_id >= 100 and event_id < 600",
+    "range_exact_sum": "select count(*) as n, rtrim(rtrim(cast(sum(cast(value as decimal(18,2))) as varchar), '0'), '.') as sum from events where event_id >= 100 and event_id < 600",
     "window_partials": "select event_id // 128 as window_id, count(*) as decoded, count(case when event_id >= 100 and event_id < 950 then 1 end) as selected, min(case when event_id >= 100 and event_id < 950 then value end) as min_value, max(case when event_id >= 100 and event_id < 950 then value end) as max_value from events where event_id // 128 <= 949 // 128 group by 1",
     "append_records": _ROUNDTRIP + " union all select (select count(*) from events), 3.5 union all select (select count(*) + 1 from events), -4.25",
     "delete_to_empty": "select row_number() over (order by event_id) - 1 as pos, value from events where event_id not between 128 and 255",
@@ -404,7 +405,7 @@ one as (select cast(count(distinct series_id) as double) as datasets, cast(count
   cast((select k from ge) as double) as distinct_keys, (select h from ge) as entropy, pow(2, (select h from ge)) as effective_keys, (select h / log2(k) from ge) as normalized_entropy,
   cast((select sum(previous_hit_rate * symbols) / sum(case when previous_hit_rate is not null then symbols end) from stability where k = 16) as double) as pooled_hit_rate, cast((select sum(previous_hit_rate * symbols) / sum(case when previous_hit_rate is not null then symbols end) from stability where k = 32) as double) as pooled_hit_rate_32, cast((select sum(net_savings_bits_per_symbol * symbols) / sum(case when net_savings_bits_per_symbol is not null then symbols end) from stability where k = 16) as double) as pooled_net_savings, cast((select sum(net_savings_bits_per_symbol * symbols) / sum(case when net_savings_bits_per_symbol is not null then symbols end) from stability where k = 32) as double) as pooled_net_savings_32 from symbols)""",
     ),
-    "transition_symbols": _with("select series_id, block_id, pos, is_zero, sign, delta_u, delta_e from symbols"),
+    "transition_symbols": _with("select series_id, block_id, pos, is_zero, coalesce(sign, 0) as sign, coalesce(delta_u, 0) as delta_u, coalesce(delta_e, 0) as delta_e from symbols"),
     "top_keys": _with("select series_id, sign, delta_u, delta_e, count, cast(rank as int) as rank from ranked where rank <= 32"),
     "heat_map": _with("select delta_u, " + ", ".join(f"cast(sum(case when delta_e = {e} then count else 0 end) as bigint) as e{'m' if e < 0 else ''}{abs(e)}" for e in range(-3, 4)) + " from counts where abs(delta_u) <= 3 and abs(delta_e) <= 3 group by delta_u"),
     "codec_roundtrip": "select 'events' as series_id, codec, n as records, n as decoded_records, cast(0 as bigint) as mismatches, cast(0 as bigint) as zero_sign_differences, 'PASS_RAW_BITS' as status from (select unnest(['xor','look_back','erased','decimal','window']) as codec), (select count(*) as n from events)",
