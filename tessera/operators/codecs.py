@@ -249,16 +249,26 @@ def encode_blocks(series: DataFrame, names: list[str], block: int = BLOCK) -> Da
     return groups.mapInArrow(run, BLOCKS)
 
 
-def decode_blocks(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks back to series_id, codec, pos, value."""
+def decode_blocks(blocks: DataFrame, block: int = BLOCK, errors: bool = False) -> DataFrame:
+    """Blocks back to series_id, codec, pos, value. A block that can't be decoded ends the job or, with ``errors``, gives one row
+    without a value, at the block's first position, and what was wrong in a further column ``error``."""
+    names = ["series_id", "codec", "pos", "value", *(["error"] if errors else [])]
 
     def run(batches):
         for b in batches:
             for sid, bid, name, n, data in zip(*(b.column(c).to_pylist() for c in ("series_id", "block_id", "codec", "cnt", "payload")), strict=True):
-                v = CODECS[name].decode(data, n)
-                yield pa.RecordBatch.from_arrays([pa.array([sid] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array(bid * block + np.arange(n)), pa.array(v)], names=["series_id", "codec", "pos", "value"])
+                wrong = None
+                try:
+                    v = pa.array(CODECS[name].decode(data, n))
+                except Exception as e:
+                    if not errors:
+                        raise
+                    v, wrong = pa.nulls(1, pa.float64()), f"block {bid}: {e or type(e).__name__}"
+                k = len(v)
+                cols = [pa.array([sid] * k, pa.string()), pa.array([name] * k, pa.string()), pa.array(bid * block + np.arange(k)), v, pa.array([wrong] * k, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols[: len(names)], names=names)
 
-    return blocks.mapInArrow(run, "series_id string, codec string, pos long, value double")
+    return blocks.mapInArrow(run, "series_id string, codec string, pos long, value double" + (", error string" if errors else ""))
 
 
 def size_report(blocks: DataFrame) -> DataFrame:
@@ -273,19 +283,20 @@ def size_report(blocks: DataFrame) -> DataFrame:
 def verify(series: DataFrame, blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     """Decoded values held against the source by position: counts, mismatches, signed-zero differences, the first mismatch and a status.
 
-    PASS_RAW_BITS: all patterns equal. PASS_ZERO_EQ: only zeros differ in sign. FAIL_ROUNDTRIP: else, lost or surplus records included.
+    ERROR: a block could not be decoded (the first error is given). PASS_RAW_BITS: all patterns equal. PASS_ZERO_EQ: only zeros differ in
+    sign. FAIL_ROUNDTRIP: else, lost or surplus records included.
     """
     from tessera.functions.numeric import f64_bits
 
     source = series.select("series_id", "pos", f64_bits(F.col("value")).alias("want"), F.col("value").alias("v"))
     names = blocks.select("codec").distinct()
     source = source.join(F.broadcast(names))  # a row per codec: a handful
-    got = decode_blocks(blocks, block).select("series_id", "codec", "pos", f64_bits(F.col("value")).alias("got"), F.col("value").alias("w"))
+    got = decode_blocks(blocks, block, errors=True).select("series_id", "codec", "pos", f64_bits(F.col("value")).alias("got"), F.col("value").alias("w"), "error")
     j = source.join(got, ["series_id", "codec", "pos"], "full")
     zero = (F.col("v") == 0) & (F.col("w") == 0) & (F.col("want") != F.col("got"))
     bad = ~F.col("want").eqNullSafe(F.col("got")) & ~F.coalesce(zero, F.lit(False))
-    out = j.groupBy("series_id", "codec").agg(F.count("want").alias("records"), F.count("got").alias("decoded_records"), F.count_if(bad).alias("mismatches"), F.count_if(zero).alias("zero_sign_differences"), F.min(F.when(bad, F.col("pos"))).alias("first_mismatch"))
-    status = F.when(F.col("mismatches") > 0, "FAIL_ROUNDTRIP").when(F.col("zero_sign_differences") > 0, "PASS_ZERO_EQ").otherwise("PASS_RAW_BITS")
+    out = j.groupBy("series_id", "codec").agg(F.count("want").alias("records"), F.count("got").alias("decoded_records"), F.count_if(bad).alias("mismatches"), F.count_if(zero).alias("zero_sign_differences"), F.min(F.when(bad, F.col("pos"))).alias("first_mismatch"), F.min("error").alias("error"))
+    status = F.when(F.col("error").isNotNull(), "ERROR").when(F.col("mismatches") > 0, "FAIL_ROUNDTRIP").when(F.col("zero_sign_differences") > 0, "PASS_ZERO_EQ").otherwise("PASS_RAW_BITS")
     return out.withColumn("status", status)
 
 

@@ -15,7 +15,8 @@ from tessera.functions import numeric
 from tessera.operators import codecs, position_query, transitions, windows
 from tessera.operators.mutate import EDITS, WindowStore
 from tessera.sources.scratch import shared_folder
-from tessera.sources.series import shuffled
+from tessera.sources.reports import write_decoded
+from tessera.sources.series import csv_strict, csv_table, csv_values, invalid_rows, shuffled
 
 BLOCK = 1_000
 LINE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice"]
@@ -266,6 +267,42 @@ def neighbour_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.neighbour_zeros(_decoded(spark, sf_dir), BLOCK)
 
 
+def decoded_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows decoded into CSV files, read again."""
+    path = f"{shared_folder(spark)}/tessera/export-{uuid.uuid4().hex}"
+    write_decoded(_windows(spark, sf_dir), path)
+    return spark.read.csv(path, header=True, schema="pos long, value double, series_id string").select("series_id", "pos", "value")
+
+
+def _csv_folder(spark: SparkSession, rows: DataFrame) -> str:
+    path = f"{shared_folder(spark)}/tessera/csv-{uuid.uuid4().hex}"
+    rows.write.csv(path, header=True)
+    return path
+
+
+def strict_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of CSV files, read strictly one at a time and brought together by file and position."""
+    path = _csv_folder(spark, spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value"))
+    ids, values = csv_strict(spark, path, 0, None, BLOCK), csv_strict(spark, path, 1, True, BLOCK)
+    joined = ids.withColumnRenamed("value", "event_id").join(values, ["series_id", "pos", "block_id"])
+    return joined.select(F.col("event_id").cast("long").alias("event_id"), "value")
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> str:
+    """Events as CSV, every seventh value empty, every eleventh of the others 'nan'."""
+    cell = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 11 == 0, "nan").otherwise(F.col("value").cast("string"))
+    return _csv_folder(spark, spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", cell.alias("value")))
+
+
+def csv_invalid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = invalid_rows(csv_values(spark, _gaps(spark, sf_dir), 1, True, "null"))
+    return found.agg(F.sum("rows").alias("rows"), F.sum("invalid_rows").alias("invalid_rows"))
+
+
+def csv_complete_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_table(spark, _gaps(spark, sf_dir)).select(F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
+
+
 def shuffled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The multiset of a shuffled series, which is that of the series."""
     return shuffled(events(spark, sf_dir)).groupBy("value").agg(F.count("*").alias("n"))
@@ -278,7 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         range_aggregate_stats, range_decimals, range_exact_sum, window_partials, update_records, insert_records, delete_records, append_records, delete_to_empty, bucket_index, zero_residual_count, decimal_places_hist, exponent_hist,
         key_distribution, topk_coverage, pooled_counts, key_entropy, block_counts, block_stability, centred_region, codebook_choice,
         dataset_summary, global_summary, heat_map, transition_symbols, top_keys, codec_sizes, codec_roundtrip, compression_summary, neighbour_zeros,
-        shuffled_series,
+        shuffled_series, decoded_export, strict_csv, csv_invalid_rows, csv_complete_cases,
     )
 }
 
@@ -409,5 +446,9 @@ one as (select cast(count(distinct series_id) as double) as datasets, cast(count
     "top_keys": _with("select series_id, sign, delta_u, delta_e, count, cast(rank as int) as rank from ranked where rank <= 32"),
     "heat_map": _with("select delta_u, " + ", ".join(f"cast(sum(case when delta_e = {e} then count else 0 end) as bigint) as e{'m' if e < 0 else ''}{abs(e)}" for e in range(-3, 4)) + " from counts where abs(delta_u) <= 3 and abs(delta_e) <= 3 group by delta_u"),
     "codec_roundtrip": "select 'events' as series_id, codec, n as records, n as decoded_records, cast(0 as bigint) as mismatches, cast(0 as bigint) as zero_sign_differences, 'PASS_RAW_BITS' as status from (select unnest(['xor','look_back','erased','decimal','window']) as codec), (select count(*) as n from events)",
+    "decoded_export": "select 'events' as series_id, event_id as pos, value from events",
+    "strict_csv": "select event_id, value from events",
+    "csv_invalid_rows": "select count(*) as rows, count(*) filter (where event_id % 7 = 0 or event_id % 11 = 0) as invalid_rows from events",
+    "csv_complete_cases": "select event_id, value from events where event_id % 7 <> 0 and event_id % 11 <> 0",
     "shuffled_series": "select value, count(*) as n from events group by value",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import codecs, transitions
+from tessera.operators import codecs, transitions, windows
 from tessera.sources.series import write_new
 
 
@@ -19,6 +19,12 @@ def write_stream(blocks: DataFrame, path: str) -> None:
     blocks.write.mode("errorifexists").partitionBy("codec", "series_id").parquet(path)
 
 
+def write_decoded(table: DataFrame, path: str) -> None:
+    """All values of a window table as CSV below ``path``, a folder a series; the files' order is that of the positions."""
+    rows = windows.decode(table).select("series_id", "pos", "value").repartitionByRange("series_id", "pos").sortWithinPartitions("series_id", "pos")
+    rows.write.mode("errorifexists").partitionBy("series_id").csv(path, header=True)
+
+
 def distribution_reports(rows: DataFrame, path: str) -> None:
     """The six reports of the transition statistics below ``path``, from symbols."""
     by = ["series_id"]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from tessera.sources import reports, series
-from tessera.operators import transitions
+from tessera.operators import codecs, transitions, windows
 
 
 def write(path, name, text):
@@ -66,3 +66,91 @@ def test_reports_are_written(spark, tmp_path):
     assert {r["scope"] for r in spark.read.csv(f"{tmp_path}/d/key_distribution", header=True).collect()} == {"dataset", "global"}
     reports.checked_reports(rows, ["xor", "window"], f"{tmp_path}/c", 100)
     assert {r["status"] for r in spark.read.csv(f"{tmp_path}/c/summary", header=True).collect()} == {"PASS_RAW_BITS"}
+
+
+def test_lines_of_split_files_are_numbered_in_file_order(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 1), ("c", 3000)):
+        write(tmp_path, f"{name}.csv", "\ufeffvalue\n" + "".join(f"{i}.5\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert series.csv_lines(spark, str(tmp_path))[0].rdd.getNumPartitions() > 8
+        got = series.csv_values(spark, str(tmp_path)).collect()
+        strict = series.csv_strict(spark, str(tmp_path), 0, None, 1024).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["series_id"], r["line"], r["value"]) for r in got) == [(k, i + 1, i + 0.5) for k, n in (("a", 5000), ("b", 1), ("c", 3000)) for i in range(n)]
+    assert sorted((r["series_id"], r["pos"], r["block_id"], r["value"]) for r in strict) == [(k, i, i // 1024, i + 0.5) for k, n in (("a", 5000), ("b", 1), ("c", 3000)) for i in range(n)]
+
+
+@pytest.mark.parametrize(
+    ("text", "column", "header", "why"),
+    [
+        ("1\n\n2\n", 0, False, "missing value"),
+        ("1,2\n3\n", 1, False, "missing column"),
+        ("v,w\n1,x\n", 1, True, "invalid value"),
+        ("a,b\n1,2\n", 0, False, "invalid value"),
+        (",\n1,2\n", 0, None, "missing value"),
+        ("v,w\n", 1, True, "without values"),
+        ("", 0, None, "without values"),
+    ],
+)
+def test_strict_csv_rejects(spark, tmp_path, text, column, header, why):
+    write(tmp_path, "t.csv", text)
+    with pytest.raises((PySparkException, ValueError), match=why):
+        series.csv_strict(spark, str(tmp_path), column, header).collect()
+
+
+def test_strict_csv_keeps_the_short_tail(spark, tmp_path):
+    write(tmp_path, "t.csv", "x\n1\nNaN\n-0.0\n4\n5")
+    rows = series.csv_strict(spark, str(tmp_path), 0, True, 2).orderBy("pos").collect()
+    assert [(r["pos"], r["block_id"], str(r["value"])) for r in rows] == [(0, 0, "1.0"), (1, 0, "nan"), (2, 1, "-0.0"), (3, 1, "4.0"), (4, 2, "5.0")]
+    assert {r["block_id"] for r in series.csv_strict(spark, str(tmp_path), 0, True).collect()} == {0}
+
+
+def test_changed_sources(spark, tmp_path):
+    for k in "abc":
+        write(tmp_path, f"s/{k}.csv", k)
+    series.fingerprints(spark, f"{tmp_path}/s").write.parquet(f"{tmp_path}/before")
+    before = spark.read.parquet(f"{tmp_path}/before")
+    assert series.changed_sources(spark, f"{tmp_path}/s", before).count() == 0
+    write(tmp_path, "s/b.csv", "B")
+    write(tmp_path, "s/d.csv", "d")
+    (tmp_path / "s/a.csv").unlink()
+    assert {(r["path"][-5:], r["change"]) for r in series.changed_sources(spark, f"{tmp_path}/s", before).collect()} == {("a.csv", "removed"), ("b.csv", "changed"), ("d.csv", "added")}
+
+
+def test_shuffle_is_one_cycle_over_many_blocks(spark):
+    rows = spark.createDataFrame([(s, i, float(i)) for s, n in (("s", 2000), ("t", 3), ("u", 1)) for i in range(n)], "series_id string, pos long, value double")
+    got = {(r["series_id"], r["pos"]): int(r["value"]) for r in series.shuffled(rows, 5, block=64).collect()}
+    for s, n in (("s", 2000), ("t", 3), ("u", 1)):
+        at, seen = 0, 0
+        while not seen or at:
+            at, seen = got[s, at], seen + 1
+        assert seen == n
+
+
+def test_big_endian_blocks(spark):
+    values = [1.5, -0.0, float("nan"), 1e-320, -2.75, float("inf"), 7.0]
+    rows = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "series_id string, pos long, value double")
+    got = series.big_endian_blocks(rows, 3).orderBy("block_id").collect()
+    assert [len(r["payload"]) for r in got] == [24, 24, 8]
+    assert b"".join(bytes(r["payload"]) for r in got) == struct.pack(">7d", *values)
+
+
+def test_decoded_values_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{k}", i, i / 4) for k in range(2) for i in range(500)], "series_id string, pos long, value double")
+    reports.write_decoded(windows.build(rows), f"{tmp_path}/d")
+    back = spark.read.csv(f"{tmp_path}/d", header=True, schema="pos long, value double, series_id string")
+    assert sorted((r["series_id"], r["pos"], r["value"]) for r in back.collect()) == [(f"s{k}", i, i / 4) for k in range(2) for i in range(500)]
+
+
+def test_a_block_that_cannot_be_decoded_is_an_error(spark):
+    rows = spark.createDataFrame([("s", i, i / 8) for i in range(250)], "series_id string, pos long, value double")
+    blocks = codecs.encode_blocks(rows, ["window", "xor"], 100)
+    broken = blocks.withColumn("payload", blocks["payload"].substr(1, 1)).where("codec = 'window' and block_id = 1").unionByName(blocks.where("codec <> 'window' or block_id <> 1"))
+    got = {r["codec"]: r for r in codecs.verify(rows, broken, 100).collect()}
+    assert (got["xor"]["status"], got["xor"]["error"]) == ("PASS_RAW_BITS", None)
+    assert got["window"]["status"] == "ERROR" and got["window"]["error"].startswith("block 1") and got["window"]["decoded_records"] == 150
+    with pytest.raises(PySparkException):
+        codecs.decode_blocks(broken, 100).collect()
